@@ -1 +1 @@
-
+"""Functions that make or reshape graphs."""

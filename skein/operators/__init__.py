@@ -1 +1 @@
-
+"""Graph operators: reads, ranges, partitions, updates and whole-graph kernels."""

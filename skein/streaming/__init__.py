@@ -1 +1 @@
-
+"""Streams of edges."""
