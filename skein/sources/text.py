@@ -19,20 +19,20 @@ def _rows(lines: DataFrame) -> DataFrame:
 def parse_edges(lines: DataFrame) -> DataFrame:
     """``src<ws>dst[<ws>weight]`` lines as edges; lines that don't begin with two numbers are left out."""
     parts = _rows(lines).select(F.split("line", " ").alias("p")).where((F.size("p") >= 2) & F.col("p")[0].rlike(_NUMBER) & F.col("p")[1].rlike(_NUMBER))
-    weight = F.when((F.size("p") >= 3) & F.get("p", F.lit(2)).rlike(r"^-?\d+$"), F.get("p", F.lit(2)).cast("int")).otherwise(0)
-    return parts.select(F.col("p")[0].cast("long").alias("src"), F.col("p")[1].cast("long").alias("dst"), weight.alias("weight"))
+    weight = F.when((F.size("p") >= 3) & F.get("p", F.lit(2)).rlike(r"^-?\d+$"), F.get("p", F.lit(2)).try_cast("int")).otherwise(0)
+    return parts.select(F.col("p")[0].try_cast("long").alias("src"), F.col("p")[1].try_cast("long").alias("dst"), weight.alias("weight"))
 
 
 def parse_nodes(lines: DataFrame) -> DataFrame:
     """One id a line."""
-    return _rows(lines).where(F.col("line").rlike(_NUMBER)).select(F.col("line").cast("long").alias("id"))
+    return _rows(lines).where(F.col("line").rlike(_NUMBER)).select(F.col("line").try_cast("long").alias("id"))
 
 
 def parse_adjacency(lines: DataFrame) -> DataFrame:
     """``id degree n1,n2,...`` lines (commas or spaces) as ``(node_id, degree, edgelist)``; the degree is the list's length."""
     parts = _rows(lines).select(F.split("line", " ", 3).alias("p")).where((F.size("p") >= 2) & F.col("p")[0].rlike(_NUMBER))
     members = F.filter(F.split(F.coalesce(F.get("p", F.lit(2)), F.lit("")), "[, ]+"), lambda x: x != "")
-    lists = parts.select(F.col("p")[0].cast("long").alias("node_id"), F.transform(members, lambda x: x.cast("long")).alias("edgelist"))
+    lists = parts.select(F.col("p")[0].try_cast("long").alias("node_id"), F.transform(members, lambda x: x.try_cast("long")).alias("edgelist"))
     return lists.select("node_id", F.size("edgelist").alias("degree"), "edgelist")
 
 
