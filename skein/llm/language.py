@@ -147,8 +147,13 @@ def fuse(evidence: DataFrame, languages: tuple[str, ...], keep: list[str]) -> Da
     ``evidence`` has ``keep``, ``evidence``, ``declared``, ``address``, ``host`` and
     ``domain``.  Returns ``keep``, ``language``, ``posterior`` and ``accepted``.
     Unknown declarations and addresses say nothing; null hosts share one prior.
+    A model that has seen no labelled text knows no language: all are null, and
+    every text with letters is accepted.
     """
     n = len(languages)
+    if not n:
+        nothing = F.lit(None).cast("string").alias("language"), F.lit(None).cast("double").alias("posterior")
+        return evidence.select(*keep, *nothing, F.col("evidence").isNotNull().alias("accepted"))
 
     def odds(c: str, weight: float) -> Column:
         right = F.array(*[(F.col(c) == x).cast("int") for x in languages])
