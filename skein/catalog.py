@@ -698,8 +698,9 @@ def chain_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scan_both(g: Graph) -> DataFrame:
-    lists = reads.adjacency(g).agg(F.sum(F.size("edgelist")).cast("long").alias("by_lists"))
-    return g.edges.agg(F.count("*").alias("by_edges")).crossJoin(F.broadcast(lists))
+    lists = reads.adjacency(g).select(F.lit(0).alias("edge"), F.size("edgelist").alias("members"))
+    both = g.edges.select(F.lit(1).alias("edge"), F.lit(0).alias("members")).union(lists)
+    return both.agg(F.sum("edge").alias("by_edges"), F.sum("members").alias("by_lists"))
 
 
 @_plain("rmat_graph")

@@ -97,12 +97,12 @@ class Graph:
         ``num_edges`` counts stored directed rows, ``num_undirected_edges`` pairs.
         """
         o = self.options
-        nodes = self.nodes.agg(F.count("*").alias("num_nodes"), F.min("id").alias("min_node_id"), F.max("id").alias("max_node_id"))
-        # A row and its reverse are one undirected edge.
-        edges = self.edges.agg(F.count("*").alias("num_edges"), F.count(F.when(F.col("src") <= F.col("dst"), 1)).alias("num_undirected_edges"))
+        # One pass over both tables; a row and its reverse are one undirected edge.
+        kinds = self.nodes.select("id", F.lit(0).alias("edge"), F.lit(0).alias("half")).union(self.edges.select(F.lit(None).cast("long"), F.lit(1), (F.col("src") <= F.col("dst")).cast("int")))
+        total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+        counts = kinds.agg(F.count("id").alias("num_nodes"), total("edge").alias("num_edges"), total("half").alias("num_undirected_edges"), F.max("id").alias("max_node_id"), F.min("id").alias("min_node_id"))
         named = [F.lit(o.name).alias("db_name"), F.lit(o.weighted).alias("is_weighted"), F.lit(o.read_optimize).alias("read_optimize"), F.lit(o.directed).alias("is_directed")]
-        # One row each.
-        return nodes.crossJoin(F.broadcast(edges)).select(*named, "num_nodes", "num_edges", "num_undirected_edges", "max_node_id", "min_node_id")
+        return counts.select(*named, *counts.columns)
 
 
 def endpoints(edges: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.model import Graph
-from skein.plans.loops import State
+from skein.plans.loops import State, dealt_by
 from skein.plans.scratch import materialize
 
 
@@ -19,8 +19,16 @@ def betweenness(g: Graph, sources: DataFrame | None = None, normalise: bool = Tr
     (all stay 0 where no path has an inner node).  State is one row for each
     source and node it reaches, so sources are best given in bounded samples.
     """
-    edges = g.edges.where("src <> dst").select("src", "dst")
     start = g.nodes if sources is None else g.nodes.join(sources.select(F.col(sources.columns[0]).alias("id")).distinct(), "id", "left_semi")
+    with dealt_by(g.edges.where("src <> dst").select("src", "dst"), "src") as edges:
+        scores = _accumulate(g, start, edges, max_levels)
+    if not normalise:
+        return scores
+    most = scores.agg(F.max("score")).first()[0] or 0.0
+    return scores.select("id", (F.col("score") / (most if most > 0 else 1.0)).alias("score"))
+
+
+def _accumulate(g: Graph, start: DataFrame, edges: DataFrame, max_levels: int) -> DataFrame:
     levels = [materialize(start.select(F.col("id").alias("s"), "id", F.lit(1.0).alias("paths")), "level")]
     for _ in range(max_levels):
         ahead = levels[-1].join(edges, F.col("id") == F.col("src")).groupBy("s", F.col("dst").alias("id")).agg(F.sum("paths").alias("paths"))
@@ -40,9 +48,4 @@ def betweenness(g: Graph, sources: DataFrame | None = None, normalise: bool = Tr
         below = materialize(passed, "below")
         if depth > 1:  # a source is no inner node of its own paths
             total.set(total.df.union(below.select("id", "dependency")).groupBy("id").agg(F.sum("dependency").alias("dependency")))
-    scores = g.nodes.join(total.df, "id", "left").select("id", F.coalesce("dependency", F.lit(0.0)).alias("score"))
-    if not normalise:
-        return scores
-    scores = materialize(scores, "scores")
-    most = scores.agg(F.max("score")).first()[0] or 0.0
-    return scores.select("id", (F.col("score") / (most if most > 0 else 1.0)).alias("score"))
+    return materialize(g.nodes.join(total.df, "id", "left").select("id", F.coalesce("dependency", F.lit(0.0)).alias("score")), "scores")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skein.model import Graph, GraphError
 from skein.operators.reads import get_random_node_ids, has_node
-from skein.plans.loops import State
+from skein.plans.loops import State, dealt_by
 from skein.plans.scratch import materialize
 
 #: Levels that are kept as tables of their own before they are merged into one.
@@ -19,25 +19,26 @@ MERGE_LEVELS = 16
 def bfs(g: Graph, source: int, max_levels: int = 1_000_000) -> DataFrame:
     """``(id, parent, depth int)`` of every reached node; the source is its own parent.
 
-    Of several parents on the level before, the smallest counts.  Each level
-    reads the edges of its frontier only; the planner broadcasts a small frontier
-    and shuffles a large one, which is the direction switch of other engines.
+    Of several parents on the level before, the smallest counts.  Edges are dealt
+    by source once; a level moves its frontier to them, broadcast by the planner
+    if it is small and shuffled if large, which is the direction switch of other
+    engines.
     """
     if not has_node(g, source):
         raise GraphError(f"no node {source}")
-    edges = g.edges.select("src", "dst")
     start = g.nodes.where(F.col("id") == source).select("id", F.col("id").alias("parent"), F.lit(0).alias("depth"))
     levels = [materialize(start, "level")]
     frontier = levels[0]
-    for depth in range(1, max_levels + 1):
-        reached = edges.join(frontier.select(F.col("id").alias("src")), "src").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
-        visited = reduce(DataFrame.union, levels).select("id")
-        frontier = materialize(reached.join(visited, "id", "left_anti").select("id", "parent", F.lit(depth).alias("depth")), "level")
-        if frontier.isEmpty():
-            break
-        levels.append(frontier)
-        if len(levels) >= MERGE_LEVELS:
-            levels = [materialize(reduce(DataFrame.union, levels), "levels")]
+    with dealt_by(g.edges.select("src", "dst"), "src") as edges:
+        for depth in range(1, max_levels + 1):
+            reached = edges.join(frontier.select(F.col("id").alias("src")), "src").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
+            visited = reduce(DataFrame.union, levels).select("id")
+            frontier = materialize(reached.join(visited, "id", "left_anti").select("id", "parent", F.lit(depth).alias("depth")), "level")
+            if frontier.isEmpty():
+                break
+            levels.append(frontier)
+            if len(levels) >= MERGE_LEVELS:
+                levels = [materialize(reduce(DataFrame.union, levels), "levels")]
     return reduce(DataFrame.union, levels)
 
 
@@ -61,9 +62,9 @@ def bfs_by_edges(g: Graph, source: int, max_rounds: int = 1_000_000) -> DataFram
 
 def bfs_stats(g: Graph, tree: DataFrame) -> DataFrame:
     """``(num_visited, sum_out_degree, max_depth)`` of a search tree."""
-    out = g.edges.join(tree.select(F.col("id").alias("src")), "src", "left_semi").agg(F.count("*").alias("sum_out_degree"))
-    # One row each.
-    return tree.agg(F.count("*").alias("num_visited"), F.max("depth").alias("max_depth")).crossJoin(F.broadcast(out)).select("num_visited", "sum_out_degree", "max_depth")
+    followed = g.edges.join(tree.select(F.col("id").alias("src")), "src", "left_semi")
+    both = tree.select("depth", F.lit(0).alias("edge")).union(followed.select(F.lit(None).cast("int"), F.lit(1)))
+    return both.agg(F.count("depth").alias("num_visited"), F.coalesce(F.sum("edge"), F.lit(0)).cast("long").alias("sum_out_degree"), F.max("depth").alias("max_depth"))
 
 
 def bfs_violations(g: Graph, source: int, tree: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.model import Graph
+from skein.plans.loops import dealt_by
 from skein.plans.scratch import materialize
 
 #: Rounds whose plan grows as one before it is cut by a written table.
@@ -27,10 +28,9 @@ def pagerank(g: Graph, damping: float = 0.85, max_iter: int = 10, tolerance: flo
     if not n:
         return g.nodes.select("id", F.lit(0.0).alias("rank"))
     out = g.edges.groupBy("src").agg(F.count("*").alias("degree"))
-    links = materialize(g.edges.select("src", "dst").join(out, "src"), "links").repartition("src").persist()
     nodes = materialize(g.nodes, "nodes")
     ranks = nodes.select("id", F.lit(1.0 / n).alias("rank"))
-    try:
+    with dealt_by(g.edges.select("src", "dst").join(out, "src"), "src") as links:
         for i in range(1, max_iter + 1):
             shares = links.join(ranks, F.col("src") == F.col("id")).groupBy("dst").agg(F.sum(F.col("rank") / F.col("degree")).alias("in"))
             new = nodes.join(shares, F.col("id") == F.col("dst"), "left").select("id", (F.lit((1 - damping) / n) + damping * F.coalesce("in", F.lit(0.0))).alias("rank"))
@@ -42,8 +42,6 @@ def pagerank(g: Graph, damping: float = 0.85, max_iter: int = 10, tolerance: flo
                 if moved < tolerance:
                     break
             ranks = new
-    finally:
-        links.unpersist()
     return ranks
 
 

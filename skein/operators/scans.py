@@ -13,8 +13,10 @@ from skein.plans.ranking import with_position
 def neighbourhood_scan(g: Graph, direction: str = "out") -> DataFrame:
     """One row: ``lists`` scanned, ``members`` in them and ``distinct_nodes`` among keys and members."""
     key, other = ("src", "dst") if direction == "out" else ("dst", "src")
-    seen = g.edges.select(F.explode(F.array(key, other)).alias("id")).agg(F.count_distinct("id").alias("distinct_nodes"))
-    return g.edges.agg(F.count_distinct(key).alias("lists"), F.count("*").alias("members")).crossJoin(F.broadcast(seen)).select("lists", "members", "distinct_nodes")
+    seen = g.edges.select(F.explode(F.array(F.struct(F.col(key).alias("id"), F.lit(True).alias("first")), F.struct(F.col(other).alias("id"), F.lit(False).alias("first")))).alias("e"))
+    # A row for each node before anything is counted.
+    nodes = seen.groupBy("e.id").agg(F.count(F.when(F.col("e.first"), 1)).alias("n"))
+    return nodes.agg(F.count(F.when(F.col("n") > 0, 1)).alias("lists"), F.coalesce(F.sum("n"), F.lit(0)).alias("members"), F.count("*").alias("distinct_nodes"))
 
 
 def edge_scan(g: Graph) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skein.model import Graph, GraphError
 from skein.operators.reads import has_node
-from skein.plans.loops import State
+from skein.plans.loops import State, dealt_by
 
 
 def sssp(g: Graph, source: int, delta: int | None = None, max_rounds: int = 1_000_000) -> DataFrame:
@@ -21,21 +21,21 @@ def sssp(g: Graph, source: int, delta: int | None = None, max_rounds: int = 1_00
         raise GraphError(f"no node {source}")
     if not g.edges.where("weight < 0").isEmpty():
         raise GraphError("a weight is negative")
-    edges = g.edges.select("src", "dst", "weight")
     state = State(g.nodes.where(F.col("id") == source).select("id", F.lit(0).cast("long").alias("dist"), F.lit(True).alias("pending")))
-    for _ in range(max_rounds):
-        pending = state.df.where("pending")
-        if delta is not None:
-            low = pending.agg(F.min("dist")).first()[0]
-            if low is None:
-                break
-            active = F.col("pending") & (F.floor(F.col("dist") / delta) <= low // delta)
-        else:
-            if pending.isEmpty():
-                break
-            active = F.col("pending")
-        relaxed = state.df.where(active).select(F.col("id").alias("src"), "dist").join(edges, "src").groupBy(F.col("dst").alias("id")).agg(F.min(F.col("dist") + F.col("weight")).alias("new"))
-        known = state.df.select("id", "dist", (F.col("pending") & ~active).alias("pending"))
-        better = F.col("new").isNotNull() & (F.col("dist").isNull() | (F.col("new") < F.col("dist")))
-        state.set(known.join(relaxed, "id", "full").select("id", F.least("dist", "new").alias("dist"), F.when(better, True).otherwise(F.coalesce("pending", F.lit(False))).alias("pending")))
+    with dealt_by(g.edges.select("src", "dst", "weight"), "src") as edges:
+        for _ in range(max_rounds):
+            pending = state.df.where("pending")
+            if delta is not None:
+                low = pending.agg(F.min("dist")).first()[0]
+                if low is None:
+                    break
+                active = F.col("pending") & (F.floor(F.col("dist") / delta) <= low // delta)
+            else:
+                if pending.isEmpty():
+                    break
+                active = F.col("pending")
+            relaxed = state.df.where(active).select(F.col("id").alias("src"), "dist").join(edges, "src").groupBy(F.col("dst").alias("id")).agg(F.min(F.col("dist") + F.col("weight")).alias("new"))
+            known = state.df.select("id", "dist", (F.col("pending") & ~active).alias("pending"))
+            better = F.col("new").isNotNull() & (F.col("dist").isNull() | (F.col("new") < F.col("dist")))
+            state.set(known.join(relaxed, "id", "full").select("id", F.least("dist", "new").alias("dist"), F.when(better, True).otherwise(F.coalesce("pending", F.lit(False))).alias("pending")))
     return state.df.select("id", "dist")

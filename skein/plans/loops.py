@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame
 
 from skein.plans.scratch import delete_path, write_table
@@ -20,3 +23,17 @@ class State:
         self.df, self._path = write_table(df, self.label)
         delete_path(self.df.sparkSession, old)
         return self.df
+
+
+@contextmanager
+def dealt_by(df: DataFrame, *keys: str) -> Iterator[DataFrame]:
+    """``df`` dealt by its keys and kept for as long as a loop joins to it on them.
+
+    Joins on the keys then move the other side only.  What a lost executor kept is
+    computed again.
+    """
+    kept = df.repartition(*keys).persist()
+    try:
+        yield kept
+    finally:
+        kept.unpersist()

@@ -85,3 +85,21 @@ def test_stream_degrees(spark, tmp_path):
     query = streams.degree_counts(stream, "5 minutes", "1 minute").writeStream.format("memory").queryName("degree_test").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert sum(r["degree"] for r in spark.table("degree_test").collect()) == 10
+
+
+def test_registry(spark, tmp_path):
+    import json
+
+    import pytest
+
+    from skein.model import GraphError
+    from skein.sources.registry import read_registry
+
+    good = {"dataset_name": "k10", "graph_path": "/data/k10", "num_nodes": 1024, "num_edges": 8192, "directed": False}
+    (tmp_path / "ok.json").write_text(json.dumps([good]))
+    found = read_registry(spark, f"file://{tmp_path}/ok.json")
+    assert found["k10"].num_edges == 8192 and not found["k10"].options().directed
+    for bad in ([good, good], [{**good, "num_nodes": 0}], [{**good, "graph_path": None}]):
+        (tmp_path / "bad.json").write_text(json.dumps(bad))
+        with pytest.raises(GraphError):
+            read_registry(spark, f"file://{tmp_path}/bad.json")
