@@ -41,6 +41,11 @@ _OTHER = re.compile(
 _DIGITS = re.compile(r"\d+")
 
 
+def _marked(names: dict[str, str]) -> bool:
+    """Whether class, id or role say that an element is not the article."""
+    return any(map(_OTHER.search, names.values()))
+
+
 class Page:
     """Text runs of a page with the container that holds each."""
 
@@ -54,16 +59,16 @@ class Page:
     def _read(self, source: str) -> None:
         stack: list[tuple[str, int]] = []
         parts: list[str] = []
-        linked, links, here = 0, 0, 0
+        linked, links, here, muted = 0, 0, 0, False
 
         def close_block() -> None:
-            nonlocal linked
+            nonlocal linked, muted
             if parts:
                 text = " ".join("".join(parts).split())
-                if text:
+                if text and not muted:
                     self.runs.append((here, text, linked))
                 parts.clear()
-            linked = 0
+            linked, muted = 0, False
 
         def add(raw: str) -> None:
             nonlocal linked
@@ -86,8 +91,10 @@ class Page:
                 continue
             if tag not in _BLOCKS and tag not in _NEVER:
                 continue
+            was = muted
             close_block()
             if tag in _VOID:
+                muted = was
                 continue
             if m["end"]:
                 # An end tag closes the innermost element of its name, and what that holds.
@@ -97,18 +104,16 @@ class Page:
                     del stack[depth:]
                     links = 0
             elif tag in _CONTAINERS or tag in _NEVER:
-                attrs = m["attrs"]
-                if attrs.rstrip().endswith("/") and tag not in _MAIN and tag != "div":
-                    continue
-                names = {k.lower(): a or b or c or "" for k, a, b, c in _NAMES.findall(attrs)} if attrs else {}
-                marks = " ".join(names.values())
-                other = self.other[here] or tag in _NEVER or (bool(marks) and tag not in ("html", "body") and tag not in _MAIN and bool(_OTHER.search(marks)))
+                names = {k.lower(): a or b or c or "" for k, a, b, c in _NAMES.findall(m["attrs"])} if m["attrs"] else {}
+                other = self.other[here] or tag in _NEVER or (tag not in ("html", "body") and tag not in _MAIN and _marked(names))
                 classes = "".join("." + c for c in sorted(_DIGITS.sub("#", names.get("class", "")).lower().split()))
                 stack.append((tag, here))
                 self.paths.append(f"{self.paths[here]}/{tag}{classes}")
                 self.parents.append(here)
                 self.other.append(other)
                 here = len(self.paths) - 1
+            elif m["attrs"]:  # a paragraph or the like; what it says of itself holds until the next block
+                muted = _marked({k: a or b or c or "" for k, a, b, c in _NAMES.findall(m["attrs"])})
         add(source[at:])
         close_block()
 

@@ -37,6 +37,11 @@ def test_articles_come_out_whole(spark):
     assert found == {i: TEXT.replace("first", f"first {i % 10}") for i, _, _ in rows}
 
 
+def test_marked_paragraphs_are_left_out():
+    page = "<article><p class=lead>Lead of it.</p><p class='notice'>Terms <b>have</b> changed.<br>Read them.</p><p>Body &eacute;.<br/>More</p><h4 id=comments>3 comments</h4><div class='comment-body'>No!</div><br/>End</article>"
+    assert html_extract.Page(page).text(None) == "Lead of it. Body é. More End"
+
+
 def test_odd_pages(spark):
     rows = [(1, None, None), (2, "u", ""), (3, "http://h.x/", "<p>"), (4, "nonsense", "just text, a < b and no tags at all"), (None, "http://h.x/", "<div><p>One paragraph without an id that still is read.</div>"), (5, "http://h.x/", "<script>no end <p>here"), (6, "http://h.x/", "<div>" * 3000 + "deep text in many containers</div>"), (6, "http://h.x/", "<div>" * 3000 + "deep text in many containers</div>")]
     found = html_extract.extract(pages(spark, *rows)).collect()
