@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from skein.plans.joins import attach
 from skein.plans.scratch import materialize
+from skein.plans.ship import map_batches
 
 #: Vectors and queries that are compared in one block; larger buckets are dealt into several.
 BLOCK_VECTORS, BLOCK_QUERIES = 4096, 4096
@@ -264,7 +265,7 @@ def _nearest(index: DataFrame, probes: DataFrame, classes: DataFrame, queries: D
 
     both = dealt(probes, 0).unionByName(dealt(index, 1))
     blocks = both.repartition("tab", "cell", "vpart", "qpart").sortWithinPartitions("tab", "cell", "vpart", "qpart", "kind")
-    found = blocks.mapInArrow(_compare(k + 1), "query_id long, rep long, score double")
+    found = blocks.transform(map_batches, _compare(k + 1), "query_id long, rep long, score double")
     # The best classes of each query (its own may be one of them), then their ids.
     best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.array_distinct(F.collect_list(F.struct((-F.col("score")).alias("minus"), "rep")))), 1, k + 1).alias("best"))
     classes_found = best.select("query_id", F.explode("best").alias("b")).select("query_id", F.col("b.rep").alias("rep"))
@@ -300,7 +301,7 @@ def search(embeddings: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id",
     if lengths is None:
         return empty
     rows = rows.where(F.size("v") == lengths["n"])
-    local = rows.mapInArrow(_smallest_ids(k + 1), "v array<double>, ids array<long>")
+    local = rows.transform(map_batches, _smallest_ids(k + 1), "v array<double>, ids array<long>")
     classes = local.groupBy("v").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids"))
     classes = materialize(classes.withColumn("rep", F.col("ids")[0]), "classes")
     stats = classes.agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("norm"), F.sum(F.size("ids")).alias("ids")).first()
@@ -309,8 +310,8 @@ def search(embeddings: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id",
 
     queries = materialize(rows.where(is_query).dropDuplicates(["vec_id"]), "queries")
     fields = "tab int, cell long, id long, v array<double>"
-    index = classes.select("rep", "v").mapInArrow(_hashed(hashing, False), fields)
-    probes = queries.select("vec_id", "v").mapInArrow(_hashed(hashing, True), fields)
+    index = classes.select("rep", "v").transform(map_batches, _hashed(hashing, False), fields)
+    probes = queries.select("vec_id", "v").transform(map_batches, _hashed(hashing, True), fields)
     top = materialize(_nearest(index, probes, classes, queries, k), "nearest")
     # A query that its buckets left short is compared with all vectors, block by block.
     least = min(k, stats["ids"] - 1)

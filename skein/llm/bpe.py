@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.plans.ship import map_batches
+
 #: Chunks a worker remembers in each of two generations; forgetting costs time but no results.
 CHUNK_MEMORY = 400_000
 
@@ -195,4 +197,4 @@ def encode(df: DataFrame, rank_path: str, pattern: str, text: str = "text", keep
                 names += ["token_starts", "token_ends"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return inner.mapInArrow(run, schema)
+    return inner.transform(map_batches, run, schema)

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from skein.llm.rows import text_key, without
 from skein.plans.scratch import materialize
+from skein.plans.ship import map_batches
 
 WINDOW = 13
 #: UTF-8 bytes of test texts that are searched for in one pass over the documents; more take more passes.
@@ -117,7 +118,7 @@ def term_frequencies(docs: DataFrame, vocabulary: list[bytes], text: str = "text
                 counts.update(shared.value.intersection(words_of(data)))
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"])
 
-    local = docs.where(F.col(text).isNotNull()).select(F.col(text).cast("binary").alias("b")).mapInArrow(run, "term binary, n long")
+    local = docs.where(F.col(text).isNotNull()).select(F.col(text).cast("binary").alias("b")).transform(map_batches, run, "term binary, n long")
     return {bytes(r["term"]): r["n"] for r in local.groupBy("term").agg(F.sum("n").alias("n")).collect()}
 
 
@@ -142,7 +143,7 @@ def build_index(docs: DataFrame, windows: Windows, doc_id: str = "doc_id", text:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(terms, pa.list_(pa.int32())), pa.array(lists, pa.list_(pa.list_(pa.int32())))], names=["doc_id", "gone_key", "n_words", "terms", "positions"])
 
     kind = source.schema["doc_id"].dataType.simpleString()
-    return materialize(source.mapInArrow(run, f"doc_id {kind}, gone_key long, n_words long, terms array<int>, positions array<array<int>>"), "index")
+    return materialize(source.transform(map_batches, run, f"doc_id {kind}, gone_key long, n_words long, terms array<int>, positions array<array<int>>"), "index")
 
 
 def search_index(index: DataFrame, windows: Windows, proximity: int | None = None) -> DataFrame:
@@ -173,7 +174,7 @@ def search_index(index: DataFrame, windows: Windows, proximity: int | None = Non
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     kind = index.schema["doc_id"].dataType.simpleString()
-    return index.mapInArrow(run, f"doc_id {kind}, gone_key long, n_words long, hits array<struct<start:int,stop:int>>, items array<string>" + ", near array<string>" * (proximity is not None))
+    return index.transform(map_batches, run, f"doc_id {kind}, gone_key long, n_words long, hits array<struct<start:int,stop:int>>, items array<string>" + ", near array<string>" * (proximity is not None))
 
 
 def _passes(benchmark: DataFrame, item_id: str, text: str) -> list[list[tuple[str, bytes]]]:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from skein.plans.joins import attach
 from skein.plans.scratch import materialize
+from skein.plans.ship import map_batches
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)"
@@ -179,7 +180,7 @@ def host_paths(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     a host with any number of pages is one row for each path and task.  Ties go
     to the longer, then the greater path.
     """
-    ballots = pages.where(F.length(html) > 0).select(host_of(url).alias("host"), F.col(html).alias("html")).mapInArrow(_votes, "host string, path string, share double")
+    ballots = pages.where(F.length(html) > 0).select(host_of(url).alias("host"), F.col(html).alias("html")).transform(map_batches, _votes, "host string, path string, share double")
     summed = ballots.groupBy("host", "path").agg(F.round(F.sum("share"), 6).alias("share"))
     best = summed.groupBy("host").agg(F.max(F.struct("share", F.length("path").alias("n"), "path")).alias("best"))
     return best.select("host", F.col("best.path").alias("path"), F.col("best.share").alias("share"))
@@ -198,4 +199,4 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     source = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"), host_of(url).alias("host"))
     joined = attach(source, winners, ["host"], rows=50_000).select("page_id", "url", "html", "path")
     kinds = ", ".join(f"{c} {joined.schema[c].dataType.simpleString()}" for c in ("page_id", "url"))
-    return joined.mapInArrow(_extracts, f"{kinds}, text string, n_chars long, path string")
+    return joined.transform(map_batches, _extracts, f"{kinds}, text string, n_chars long, path string")

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from skein.plans.joins import attach
 from skein.plans.scratch import materialize
+from skein.plans.ship import map_batches
 
 #: Buckets that trigrams are hashed to.
 BUCKETS = 1 << 15
@@ -95,7 +96,7 @@ def train(labelled: DataFrame, label: str = "lang", text: str = "text", rows: in
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([s.astype("<i8").tobytes() for s in sums.values()], pa.binary())], names=["label", "counts"])
 
     total: dict[str, np.ndarray] = {}
-    for r in chosen.select("label", F.col("text").cast("binary").alias("b")).coalesce(32).mapInArrow(run, "label string, counts binary").toLocalIterator():
+    for r in chosen.select("label", F.col("text").cast("binary").alias("b")).coalesce(32).transform(map_batches, run, "label string, counts binary").toLocalIterator():
         total[r["label"]] = total.get(r["label"], 0) + np.frombuffer(r["counts"], "<i8")
     names = tuple(sorted(total))
     counts = np.array([total[n] for n in names], float).reshape(len(names), BUCKETS) + 0.2
@@ -114,7 +115,7 @@ def text_evidence(df: DataFrame, model: TextModel, text: str, keep: list[str], m
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(keep))], pa.array([None if f is None else f.astype(float).tolist() for f in found], pa.list_(pa.float64()))], names=[*keep, "evidence"])
 
     kinds = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep)
-    return source.mapInArrow(run, f"{kinds}, evidence array<double>")
+    return source.transform(map_batches, run, f"{kinds}, evidence array<double>")
 
 
 def markup_language(html: str = "html") -> Column:

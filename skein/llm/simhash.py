@@ -24,6 +24,7 @@ from skein.llm.rows import text_key, without
 from skein.operators.components import connected_components
 from skein.plans.joins import attach
 from skein.plans.scratch import materialize
+from skein.plans.ship import map_batches
 
 SEED = 42
 MAX_BITS = 3
@@ -60,7 +61,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64))], names=["doc_id", "gone_key", "fp"])
 
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_key(text).alias("gone_key"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_bytes"))
-    return source.mapInArrow(run, "doc_id long, gone_key long, fp long")
+    return source.transform(map_batches, run, "doc_id long, gone_key long, fp long")
 
 
 def _component_edges(fps: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
@@ -131,7 +132,7 @@ def fingerprint_links(classes: DataFrame, block: int = BLOCK) -> DataFrame:
     other = F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).alias("other")
     dealt = placed.select("key", "fp", "rep", "own", other).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", "rep")
     lists = dealt.groupBy("key", "i", "j").agg(F.collect_list(F.struct("fp", "rep")).alias("list")).where(F.size("list") > 1).select("list")
-    return lists.mapInArrow(_links, "src long, dst long").distinct()
+    return lists.transform(map_batches, _links, "src long, dst long").distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from skein.plans.joins import attach
 from skein.plans.scratch import materialize, new_path
+from skein.plans.ship import map_batches
 
 VERSION = "WARC/1.1\r\n"
 #: Between records; a payload that could be taken for one is written in base64.
@@ -255,10 +256,10 @@ def read_histories(spark: SparkSession, path: str, bounds: list[tuple]) -> DataF
     page_id, payload_bytes, payload_digest, record_type, refers_to, url``.
     """
     raw = spark.read.option("lineSep", BOUNDARY).text(path).select(F.col("value").cast("binary").alias("value")).where(F.octet_length("value") > 0)
-    runs = raw.mapInArrow(_runs(bounds), f"range int, k1 string, k2 string, k3 long, k4 string, run long, piece array<{_CAPTURE_SQL}>")
+    runs = raw.transform(map_batches, _runs(bounds), f"range int, k1 string, k2 string, k3 long, k4 string, run long, piece array<{_CAPTURE_SQL}>")
     dealt = runs.repartition(len(bounds) + 1, "range").sortWithinPartitions("range", "k1", "k2", "k3", "k4", "run")
     columns = _CAPTURE_SQL.removeprefix("struct<").removesuffix(">").replace(":", " ")
-    return dealt.select("range", "run", "piece").mapInArrow(_merged, f"range int, position long, {columns}")
+    return dealt.select("range", "run", "piece").transform(map_batches, _merged, f"range int, position long, {columns}")
 
 
 def archive(pages: DataFrame, path: str | None = None, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
