@@ -317,9 +317,12 @@ def search(embeddings: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id",
     least = min(k, stats["ids"] - 1)
     short = queries.join(top.where(F.size("top") >= least).select(F.col("query_id").alias("vec_id")), "vec_id", "left_anti")
     if not short.isEmpty():
-        everywhere = [F.lit(-1).alias("tab"), F.lit(0).cast("long").alias("cell")]
         short = materialize(short, "short")
-        rest = _nearest(classes.select(*everywhere, F.col("rep").alias("id"), "v"), short.select(*everywhere, F.col("vec_id").alias("id"), "v"), classes, short, k)
+        parts = max(1, -(-stats["n"] // BLOCK_VECTORS))
+        part = F.pmod(F.xxhash64("rep"), F.lit(parts)).cast("long")
+        every_part = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))
+        blocks_of_all = classes.select(F.lit(-1).alias("tab"), part.alias("cell"), F.col("rep").alias("id"), "v")
+        rest = _nearest(blocks_of_all, short.select(F.lit(-1).alias("tab"), every_part.alias("cell"), F.col("vec_id").alias("id"), "v"), classes, short, k)
         top = top.where(F.size("top") >= least).unionByName(rest)
     out = top.select("query_id", F.posexplode("top").alias("pos", "t"))
     return out.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("t.vec_id").alias("vec_id"), (-F.col("t.minus")).alias("score"))
