@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from skein.plans.ship import map_batches
 
 #: Chunks a worker remembers in each of two generations; forgetting costs time but no results.
-CHUNK_MEMORY = 400_000
+CHUNK_MEMORY = 150_000
 
 _DOUBLE_SPACE = re.compile(r"\s\s")
 #: Before a space that follows anything but white space the pattern always cuts.
