@@ -1,18 +1,21 @@
 """Line deduplication by pairwise alignment of documents that share lines.
 
-A line nominates, for each later document that holds it, the pair of that
-document and the first one that holds the line.  A line in n documents thus
-makes n - 1 pairs, however frequent it is, and every line that a document
-repeats from earlier ones is aligned with the document where it began.  Pairs
-are aligned by patience diff: lines that occur once in both documents are
-matched in their longest common order, and matched lines grow over equal
+The shortest spans of neighbouring lines that have enough words to go nominate,
+for each later document that holds one, the pair of that document and the first
+one that holds the span.  A span in n documents thus makes n - 1 pairs, however
+frequent it is, and every block that a document repeats from any earlier one is
+covered by its pairs, wherever its single lines began.  Pairs are aligned on all
+lines that both share, by patience diff: lines that occur once in both documents
+are matched in their longest common order, and matched lines grow over equal
 neighbours.  Aligned blocks go from the later document.
 """
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,6 +27,9 @@ from skein.plans.ship import map_batches
 
 #: Words that a block must have to be deleted; shorter common lines say nothing about where a text came from.
 LEAST_WORDS = 5
+_SPACE = re.compile(r"[ \t\x0b\f\r]+")
+_LINE = pa.struct([("h", pa.int64()), ("words", pa.int32()), ("own", pa.list_(pa.struct([("pos", pa.int32()), ("at", pa.int32())])))])
+_LINE_SQL = "struct<h:bigint,words:int,own:array<struct<pos:int,at:int>>>"
 
 
 def patience(matches: list[tuple[int, int, list[int], list[int]]], least_words: int = LEAST_WORDS) -> list[int]:
@@ -80,10 +86,68 @@ def patience(matches: list[tuple[int, int, list[int], list[int]]], least_words:
     return gone
 
 
+def windows(words: list[int], least_words: int = LEAST_WORDS) -> set[tuple[int, int]]:
+    """Spans of neighbouring lines that just reach ``least_words``: the shortest from each line and the shortest up to each.
+
+    Every run of lines with that many words is the union of the spans inside it,
+    and no span has more than ``least_words`` lines.
+    """
+    least = max(1, least_words)
+    spans: set[tuple[int, int]] = set()
+    end = total = 0
+    for start in range(len(words)):
+        while end < len(words) and total < least:
+            total += words[end]
+            end += 1
+        if total < least:
+            break
+        spans.add((start, end))
+        total -= words[start]
+    start = total = 0
+    for end, n in enumerate(words):
+        total += n
+        while total - words[start] >= least:
+            total -= words[start]
+            start += 1
+        if total >= least:
+            spans.add((start, end + 1))
+    return spans
+
+
+def _hash(data: bytes) -> int:
+    return int.from_bytes(blake2b(data, digest_size=8).digest(), "little", signed=True)
+
+
+def _read(least_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lines, spans = [], []
+            for text in b.column(2).to_pylist():
+                order: list[int] = []
+                words: list[int] = []
+                own: dict[int, dict] = {}
+                for at, line in enumerate(_SPACE.sub(" ", text).split("\n")):
+                    line = line.strip(" ")
+                    if line:
+                        h = _hash(line.encode())
+                        own.setdefault(h, {"h": h, "words": line.count(" ") + 1, "own": []})["own"].append({"pos": len(order), "at": at})
+                        order.append(h)
+                        words.append(own[h]["words"])
+                lines.append(list(own.values()))
+                spans.append(list({_hash(b"".join(h.to_bytes(8, "little", signed=True) for h in order[i:j])) for i, j in windows(words, least_words)}))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lines, pa.list_(_LINE)), pa.array(spans, pa.list_(pa.int64()))], names=["id", "key", "lines", "windows"])
+
+    return run
+
+
 def _align(least_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            gone = [patience([(m["h"], m["words"], sorted(m["own"]), sorted(m["theirs"])) for m in matches], least_words) for matches in b.column(2).to_pylist()]
+            gone = []
+            for matches in b.column(2).to_pylist():
+                at = {x["pos"]: x["at"] for m in matches for x in m["own"]}
+                found = patience([(m["h"], m["words"], sorted(x["pos"] for x in m["own"]), sorted(m["theirs"])) for m in matches], least_words)
+                gone.append([at[p] for p in found])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(gone, pa.list_(pa.int32()))], names=["gone_id", "gone_key", "gone"])
 
     return run
@@ -93,24 +157,33 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """``(gone_id, gone_key, gone array<int>)``: line numbers (from 0) that each document loses.
 
     Only documents that lose lines have a row.  Lines are compared by the hash of
-    their trimmed text; blank lines and lines of repeated documents' own making
-    are no evidence.  The earlier of two documents is the one with the smaller id;
-    rows that share an id never delete from each other, rows without id take no
-    part.
+    their trimmed text; blank lines are no evidence and do not part neighbours.  The
+    earlier of two documents is the one with the smaller id; rows that share an
+    id never delete from each other, rows without id take no part.
     """
-    source = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), text_key(text).alias("key"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    trimmed = F.trim(F.regexp_replace("line", r"\s+", " "))
-    words = F.size(F.split(trimmed, " "))
-    lines = source.withColumn("line", trimmed).where("line <> ''").select("id", "key", "pos", F.xxhash64("line").alias("h"), words.alias("words"))
-    # A row for each line of a document, however often it stands there.
-    own = materialize(lines.groupBy("id", "key", "h").agg(F.collect_set("pos").alias("own"), F.min("words").alias("words")), "lines")
+    source = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), text_key(text).alias("key"), F.col(text).alias("text"))
+    read = materialize(source.transform(map_batches, _read(least_words), f"id long, key long, lines array<{_LINE_SQL}>, windows array<long>"), "lines")
+    spans = read.select("id", "key", F.explode("windows").alias("w"))
     # Of several texts under the first id, the one with the smallest key is the first.
-    first = own.groupBy("h").agg(F.min(F.struct("id", "key", F.col("own").alias("theirs"))).alias("first"), F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
-    # Written, so that the join below is between two exchanges and a hot line's partition can be split.
-    first = materialize(first.select("h", F.col("first.id").alias("first_id"), F.col("first.theirs").alias("theirs")), "first-lines")
-    shared = own.join(first, "h").where("first_id < id")
-    pairs = shared.groupBy("id", "key", "first_id").agg(F.collect_list(F.struct("h", "words", "own", "theirs")).alias("matches"))
-    gone = pairs.select("id", "key", "matches").transform(map_batches, _align(least_words), "gone_id long, gone_key long, gone array<int>").where(F.size("gone") > 0)
+    first = spans.groupBy("w").agg(F.min(F.struct("id", "key")).alias("first"), F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
+    # Written, so that the join below is between two exchanges and a hot window's partition can be split.
+    first = materialize(first.select("w", F.col("first.id").alias("first_id"), F.col("first.key").alias("first_key")), "first-windows")
+    pairs = spans.join(first, "w").where("first_id < id").select("id", "key", "first_id", "first_key").distinct()
+    # A row for each line of a document, however often it stands there.
+    each = read.select("id", "key", F.explode("lines").alias("l")).select("id", "key", "l.*")
+    held = each.groupBy("h").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("h")
+    lines = materialize(each.join(held, "h", "left_semi").dropDuplicates(["id", "key", "h"]), "shared-lines")
+    # The shorter document of a pair brings its lines, the longer one answers for those that it has too.
+    sizes = lines.groupBy("id", "key").agg(F.count("*").alias("n"))
+    pairs = pairs.join(sizes, ["id", "key"]).join(sizes.toDF("first_id", "first_key", "first_n"), ["first_id", "first_key"])
+    pairs = materialize(pairs.select("id", "key", "first_id", "first_key", (F.col("n") <= F.col("first_n")).alias("short")), "pairs")
+    later = lines.select("id", "key", "h", "words", "own")
+    earlier = lines.select(F.col("id").alias("first_id"), F.col("key").alias("first_key"), "h", F.col("own.pos").alias("theirs"))
+    columns = ["id", "key", "first_id", "first_key", "h", "words", "own", "theirs"]
+    by_later = pairs.where("short").join(later, ["id", "key"]).join(earlier, ["first_id", "first_key", "h"]).select(columns)
+    by_earlier = pairs.where("not short").join(earlier, ["first_id", "first_key"]).join(later, ["id", "key", "h"]).select(columns)
+    matches = by_later.union(by_earlier).groupBy("id", "key", "first_id", "first_key").agg(F.collect_list(F.struct("h", "words", "own", "theirs")).alias("matches"))
+    gone = matches.select("id", "key", "matches").transform(map_batches, _align(least_words), "gone_id long, gone_key long, gone array<int>").where(F.size("gone") > 0)
     return gone.groupBy("gone_id", "gone_key").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
 
 
@@ -129,6 +202,6 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dro
     joined = keyed.join(gone.hint("shuffle_hash"), ["_line_id", "_line_key"], "left")
     lost = F.col("_line_gone")
     left = F.array_join(F.filter(F.split(text, "\n"), lambda line, i: ~F.array_contains(lost, i)), "\n")
-    new = F.when(lost.isNull(), F.col(text)).when(F.trim(left) == "", F.lit("")).otherwise(left)
+    new = F.when(lost.isNull(), F.col(text)).when(~left.rlike(r"\S"), F.lit("")).otherwise(left)
     out = joined.select(*[new.alias(c) if c == text else F.col(c) for c in columns], F.coalesce(F.size(lost), F.lit(0)).alias("n_lines_removed"))
     return out.where((F.col("n_lines_removed") == 0) | (F.col(text) != "")) if drop_emptied else out

@@ -200,6 +200,30 @@ def test_every_earlier_document_counts(spark):
     assert removed(spark, *rows)[50] == "mine alone is this very line"
 
 
+def test_copies_go_whole_wherever_their_lines_began(spark):
+    long = "a line with quite enough words to go"
+    # Short lines of the copied documents began in others, apart from each other.
+    text = f"tiny one\n{long}\n\n\ntiny two"
+    out = removed(spark, (1, "tiny one\nown words of the first document"), (2, "own words of the second document\ntiny two"), (3, text), (4, text), (5, f"mine alone here\n{text}"))
+    assert out[3] == text and out[4] == "" and out[5].split() == "mine alone here".split()
+    # No line of this block has words enough, and each began elsewhere.
+    block = "red one\nblue two\ngreen three"
+    out = removed(spark, (1, "red one"), (2, "blue two"), (3, "green three"), (4, block), (5, block), (6, f"{block}\nmine alone"))
+    assert out[4] == block and out[5] == "" and out[6] == "mine alone"
+
+
+def test_windows_cover_all_runs_with_words_enough():
+    rnd = random.Random(5)
+    for _ in range(200):
+        words = [rnd.randint(1, 7) for _ in range(rnd.randint(0, 12))]
+        spans = line_dedup.windows(words, 5)
+        assert all(sum(words[i:j]) >= 5 and j - i <= 5 for i, j in spans)
+        for i in range(len(words)):
+            for j in range(i + 1, len(words) + 1):
+                covered = {x for a, b in spans if i <= a and b <= j for x in range(a, b)}
+                assert covered == (set(range(i, j)) if sum(words[i:j]) >= 5 else set())
+
+
 def test_patience_keeps_order():
     # Both documents hold x and y, the other way round: one of them is not aligned.
     out = line_dedup.patience([(1, 9, [0], [1]), (2, 9, [1], [0])])
