@@ -6,14 +6,18 @@ one that holds the span.  A span in n documents thus makes n - 1 pairs, however
 frequent it is, and every block that a document repeats from any earlier one is
 covered by its pairs, wherever its single lines began.  Pairs are aligned on all
 lines that both share, by patience diff: lines that occur once in both documents
-are matched in their longest common order, and matched lines grow over equal
-neighbours.  Aligned blocks go from the later document.
+are matched in their longest common order, so are lines that occur once in a gap
+between them, and what is left in a gap by longest common order; matched lines
+grow over equal neighbours.  Blocks that stand in another order are looked up.
+Both run on what remains until there is no further block.  Aligned blocks go
+from the later document.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -27,21 +31,15 @@ from skein.plans.ship import map_batches
 
 #: Words that a block must have to be deleted; shorter common lines say nothing about where a text came from.
 LEAST_WORDS = 5
+#: Bits of the longest common order of a gap; beyond (50 MB) its blocks are left to the look-up, which finds them all.
+ORDER_BITS = 400_000_000
 _SPACE = re.compile(r"[ \t\x0b\f\r]+")
 _LINE = pa.struct([("h", pa.int64()), ("words", pa.int32()), ("own", pa.list_(pa.struct([("pos", pa.int32()), ("at", pa.int32())])))])
 _LINE_SQL = "struct<h:bigint,words:int,own:array<struct<pos:int,at:int>>>"
 
 
-def patience(matches: list[tuple[int, int, list[int], list[int]]], least_words: int = LEAST_WORDS) -> list[int]:
-    """Positions in the later document that align with the earlier one.
-
-    ``matches`` has, for each common line, its hash, its words, and its positions
-    in the later and in the earlier document.
-    """
-    later = {p: (h, n) for h, n, own, _ in matches for p in own}
-    earlier = {p: h for h, _, _, theirs in matches for p in theirs}
-    anchors = sorted((own[0], theirs[0]) for _, _, own, theirs in matches if len(own) == len(theirs) == 1)
-    # Longest run of anchors whose positions rise in both documents.
+def _rising(anchors: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Longest run of anchors, sorted by their first places, whose second places rise too."""
     tails: list[int] = []
     ends: list[int] = []
     back: list[int] = []
@@ -58,11 +56,63 @@ def patience(matches: list[tuple[int, int, list[int], list[int]]], least_words:
     while k >= 0:
         chain.append(anchors[k])
         k = back[k]
-    chain.reverse()
-    if not chain:  # only repeated lines are common: start from the first place of each, in order
-        for own, theirs in sorted((own[0], theirs[0]) for _, _, own, theirs in matches):
-            if not chain or theirs > chain[-1][1]:
-                chain.append((own, theirs))
+    return chain[::-1]
+
+
+def _common_order(own: list[int], theirs: list[int]) -> list[tuple[int, int]]:
+    """Longest common subsequence as pairs of places; a row of bits for each line of ``theirs``."""
+    masks: dict[int, int] = {}
+    for i, h in enumerate(own):
+        masks[h] = masks.get(h, 0) | 1 << i
+    full = (1 << len(own)) - 1
+    rows = [full]
+    for h in theirs:
+        at = rows[-1] & masks.get(h, 0)
+        rows.append((rows[-1] + at | rows[-1] - at) & full)
+    out = []
+    i, j = len(own), len(theirs)
+    while i and j:
+        if rows[j] >> (i - 1) & 1:
+            i -= 1
+        elif not rows[j - 1] >> (i - 1) & 1:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+    return out[::-1]
+
+
+def _matched(later: list[tuple[int, int]], earlier: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Positions matched in order, from ``(position, hash)`` of both: by lines unique on both sides, again in each gap, by longest common order where a gap has none."""
+    out: list[tuple[int, int]] = []
+    gaps = [(later, earlier)]
+    while gaps:
+        own, theirs = gaps.pop()
+        n_own, n_theirs = Counter(h for _, h in own), Counter(h for _, h in theirs)
+        own, theirs = [x for x in own if x[1] in n_theirs], [x for x in theirs if x[1] in n_own]
+        place = {h: j for j, (_, h) in enumerate(theirs) if n_theirs[h] == 1}
+        chain = _rising([(i, place[h]) for i, (_, h) in enumerate(own) if n_own[h] == 1 and h in place])
+        if chain:
+            i = j = 0
+            for x, y in [*chain, (len(own), len(theirs))]:
+                if i < x and j < y:
+                    gaps.append((own[i:x], theirs[j:y]))
+                i, j = x + 1, y + 1
+        elif len(own) * len(theirs) <= ORDER_BITS:
+            chain = _common_order([h for _, h in own], [h for _, h in theirs])
+        out += [(own[x][0], theirs[y][0]) for x, y in chain]
+    return sorted(out)
+
+
+def patience(matches: list[tuple[int, int, list[int], list[int]]], least_words: int = LEAST_WORDS) -> list[int]:
+    """Positions in the later document that align with the earlier one, in one order.
+
+    ``matches`` has, for each common line, its hash, its words, and its positions
+    in the later and in the earlier document.
+    """
+    later = {p: (h, n) for h, n, own, _ in matches for p in own}
+    earlier = {p: h for h, _, _, theirs in matches for p in theirs}
+    chain = _matched(sorted((p, h) for p, (h, _) in later.items()), sorted(earlier.items()))
     pairs: dict[int, int] = {}
     for a, b in chain:
         for step in (1, -1):
@@ -114,6 +164,50 @@ def windows(words: list[int], least_words: int = LEAST_WORDS) -> set[tuple[int,
     return spans
 
 
+def _runs(places: dict[int, int]) -> Iterator[list[int]]:
+    """Positions that follow each other without a gap."""
+    run: list[int] = []
+    for p in sorted(places):
+        if run and p != run[-1] + 1:
+            yield run
+            run = []
+        run.append(p)
+    if run:
+        yield run
+
+
+def _moved(matches: list[tuple[int, int, list[int], list[int]]], least_words: int) -> set[int]:
+    """Positions in the later document of all blocks that the earlier one holds anywhere, in whatever order."""
+    size = {h: n for h, n, _, _ in matches}
+    earlier = {p: h for h, _, _, theirs in matches for p in theirs}
+    later = {p: h for h, _, own, _ in matches for p in own}
+
+    def spans(places: dict[int, int]) -> Iterator[tuple[tuple[int, ...], list[int]]]:
+        for run in _runs(places):
+            for i, j in windows([size[places[p]] for p in run], least_words):
+                yield tuple(places[p] for p in run[i:j]), run[i:j]
+
+    held = {lines for lines, _ in spans(earlier)}
+    return {p for lines, at in spans(later) if lines in held for p in at}
+
+
+def aligned(matches: list[tuple[int, int, list[int], list[int]]], least_words: int = LEAST_WORDS) -> list[int]:
+    """Positions that the later document loses to the earlier one.
+
+    Patience diff takes the blocks in order and a look-up those that moved; both
+    run again on what remains, closed up, until there is no further block.
+    """
+    gone: list[int] = []
+    while True:
+        rest = [(h, n, [p - bisect_left(gone, p) for p in own], theirs) for h, n, own, theirs in matches]
+        was = {q: p for (_, _, own, _), (_, _, new, _) in zip(matches, rest, strict=True) for p, q in zip(own, new, strict=True)}
+        found = {was[q] for q in {*patience(rest, least_words), *_moved(rest, least_words)}}
+        if not found:
+            return gone
+        gone = sorted({*gone, *found})
+        matches = [(h, n, left, theirs) for h, n, own, theirs in matches if (left := [p for p in own if p not in found])]
+
+
 def _hash(data: bytes) -> int:
     return int.from_bytes(blake2b(data, digest_size=8).digest(), "little", signed=True)
 
@@ -146,7 +240,7 @@ def _align(least_words: int):
             gone = []
             for matches in b.column(2).to_pylist():
                 at = {x["pos"]: x["at"] for m in matches for x in m["own"]}
-                found = patience([(m["h"], m["words"], sorted(x["pos"] for x in m["own"]), sorted(m["theirs"])) for m in matches], least_words)
+                found = aligned([(m["h"], m["words"], sorted(x["pos"] for x in m["own"]), sorted(m["theirs"])) for m in matches], least_words)
                 gone.append([at[p] for p in found])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(gone, pa.list_(pa.int32()))], names=["gone_id", "gone_key", "gone"])
 

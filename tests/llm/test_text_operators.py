@@ -231,6 +231,36 @@ def test_patience_keeps_order():
     assert line_dedup.patience([(1, 9, [0, 2], [0, 2]), (2, 9, [1], [1])]) == [0, 1, 2]
 
 
+def matches_of(later, earlier, words):
+    """The common lines of two documents given as strings of one-letter lines."""
+    at = lambda doc, h: [i for i, x in enumerate(doc) if x == h]
+    return [(ord(h), words[h], at(later, h), at(earlier, h)) for h in sorted(set(later) & set(earlier))]
+
+
+def test_patience_recurs_into_gaps():
+    # x and y occur twice in both documents, but once in each gap; what no gap has once goes by longest common order.
+    words = dict.fromkeys("axyb", 9)
+    assert line_dedup.patience(matches_of("x-a-x", "x+a+x", words)) == [0, 2, 4]
+    assert line_dedup.patience(matches_of("a-x-x-y-y", "a+x+x+y+y", words)) == [0, 2, 4, 6, 8]
+
+
+def test_all_blocks_of_a_pair_go_whatever_their_order():
+    words = dict.fromkeys("abcdef", 9) | {"p": 2, "q": 2, "r": 2}
+    assert line_dedup.aligned(matches_of("fedcba", "abcdef", words)) == [0, 1, 2, 3, 4, 5]
+    assert line_dedup.aligned(matches_of("a-a-a", "a", words)) == [0, 2, 4]
+    # Short lines close up when the block between them has gone.
+    assert line_dedup.aligned(matches_of("paqr-q", "pqr+a", words)) == [0, 1, 2, 3]
+    rnd = random.Random(9)
+    for _ in range(300):
+        later, earlier = ("".join(rnd.choice("abpqr-") for _ in range(rnd.randint(1, 14))) for _ in range(2))
+        earlier = earlier.replace("-", "+")
+        gone = line_dedup.aligned(matches_of(later, earlier, words))
+        left = "".join(x for i, x in enumerate(later) if i not in gone)
+        blocks = [left[i:j] for i in range(len(left)) for j in range(i + 1, len(left) + 1)]
+        assert not any(x in earlier and sum(words[y] for y in x) >= 5 for x in blocks if "-" not in x)
+        assert all(later[i] in earlier for i in gone)
+
+
 def test_licences(spark):
     mit = licences.LICENCES["MIT"]
     rows = [
