@@ -2,8 +2,8 @@
 
 Each page's containers are scored by the running text they hold.  In Spark, the
 pages of a host vote on generalised tag and class paths with these scores, and
-every page is read again along the path that won on its host.  A page without
-that path is read along the best of its own.
+every page is read again along the path that won on its host, in the whole article
+around it.  A page without text there is read along the best of its own paths.
 """
 
 from __future__ import annotations
@@ -136,18 +136,46 @@ class Page:
                     break
         return {p: s for p, s in out.items() if s > 0}
 
-    def text(self, path: str | None) -> str:
-        """What the containers with this path hold, in page order; on a page without any, what the best of its own paths holds."""
-        if path is None or path not in self.paths:
-            own = self.scores()
-            path = max(own, key=lambda p: (own[p], p)) if own else None
-            if path is None:
-                return ""
+    def _around(self, path: str) -> set[int]:
+        """The containers with this path, each widened to the article that it is in: the nearest article or main element, else the nearest below the body that holds further running text."""
+        tags = [p.rpartition("/")[2].split(".")[0] for p in self.paths]
+        held = [0] * len(self.paths)
+        for c, text, linked in self.runs:
+            if not self.other[c]:
+                held[c] += len(text) > 2 * linked
+        for c in range(len(self.paths) - 1, 0, -1):
+            held[self.parents[c]] += held[c]
+        main = [0] * len(self.paths)
+        for c in range(1, len(self.paths)):
+            main[c] = c if tags[c] in _MAIN else main[self.parents[c]]
+        out = set()
+        for c in range(len(self.paths)):
+            if self.paths[c] != path or self.other[c]:
+                continue
+            if main[c] or tags[c] in ("", "html", "body"):
+                out.add(main[c] or c)
+                continue
+            a = self.parents[c]
+            while a > 0 and tags[a] not in ("html", "body") and held[a] == held[c]:
+                a = self.parents[a]
+            out.add(a if a > 0 and tags[a] not in ("html", "body") else c)
+        return out
+
+    def _inside(self, path: str) -> str:
+        roots = self._around(path)
         inside = [False] * len(self.paths)
         for c in range(len(self.paths)):
-            inside[c] = not self.other[c] and (self.paths[c] == path or (c > 0 and inside[self.parents[c]]))
+            inside[c] = not self.other[c] and (c in roots or (c > 0 and inside[self.parents[c]]))
         return " ".join(t for c, t, _ in self.runs if inside[c])
 
+    def text(self, path: str | None) -> str:
+        """What the articles around the containers with this path hold, in page order; on a page where that is nothing, those around the best of its own paths."""
+        found = self._inside(path) if path is not None and path in self.paths else ""
+        if found:
+            return found
+        own = self.scores()
+        return self._inside(max(own, key=lambda p: (own[p], p))) if own else ""
+
 
 def host_of(url: str = "url") -> Column:
     """Lower-case host of a URL, without port; empty if there is none."""

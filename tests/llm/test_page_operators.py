@@ -42,6 +42,21 @@ def test_marked_paragraphs_are_left_out():
     assert html_extract.Page(page).text(None) == "Lead of it. Body é. More End"
 
 
+def test_text_beside_the_innermost_container_is_kept():
+    body = "<p>" + "A long paragraph of the article's own body text. " * 20 + "</p>"
+    lead, close = "<h1>A headline of the article</h1><p>The lead of it.</p>", "<p>A closing word.</p>"
+    for frame in ("<article>{}<div class=body>{}</div>{}</article>", "<div class=post>{}<div><div class=body>{}</div></div>{}</div>", "<main><div>{}<section>{}</section>{}</div></main>"):
+        page = html_extract.Page("<body><nav>Menu</nav>" + frame.format(lead, body, close) + "<div class=extra>Not of it, but running text all the same.</div>")
+        for path in (None, *page.scores()):
+            if path is None or "extra" not in path and path != "/body":
+                text = page.text(path)
+                assert text.startswith("A headline of the article The lead of it. A long") and text.endswith("A closing word.")
+    # Several articles stay apart; an empty container is no reason for an empty text.
+    page = html_extract.Page(f"<main><article class=a>{lead}</article><article class=b>{body}</article></main>")
+    assert page.text("/main/article.a") == "A headline of the article The lead of it."
+    assert html_extract.Page(f"<body><div class=main></div><div class=extra>{close}</div>").text("/body/div.main") == "A closing word."
+
+
 def test_odd_pages(spark):
     rows = [(1, None, None), (2, "u", ""), (3, "http://h.x/", "<p>"), (4, "nonsense", "just text, a < b and no tags at all"), (None, "http://h.x/", "<div><p>One paragraph without an id that still is read.</div>"), (5, "http://h.x/", "<script>no end <p>here"), (6, "http://h.x/", "<div>" * 3000 + "deep text in many containers</div>"), (6, "http://h.x/", "<div>" * 3000 + "deep text in many containers</div>")]
     found = html_extract.extract(pages(spark, *rows)).collect()
