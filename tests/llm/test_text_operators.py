@@ -261,6 +261,27 @@ def test_all_blocks_of_a_pair_go_whatever_their_order():
         assert all(later[i] in earlier for i in gone)
 
 
+def test_long_licences_are_known_by_whole_texts(spark):
+    want = {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "BSL-1.0"}
+    assert want <= set(licences.LICENCES) - set(licences.NOTICES)
+    wtfpl = """            DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE
+                    Version 2, December 2004
+
+ Copyright (C) 2004 Sam Hocevar <sam@hocevar.net>
+
+ Everyone is permitted to copy and distribute verbatim or modified
+ copies of this license document, and changing it is allowed as long
+ as the name is changed.
+
+            DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE
+   TERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION
+
+  0. You just DO WHAT THE FUCK YOU WANT TO."""
+    rows = [(1, wtfpl), (2, "This work is licensed under the GNU General Public License, version 3."), (3, licences.LICENCES["GPL-3.0"].upper()), (4, licences.LICENCES["GPL-3.0"][:-200])]
+    found = {r["doc_id"]: r["licence"] for r in licences.scan(docs(spark, *rows)).collect()}
+    assert found == {1: "WTFPL", 2: "GPL-3.0-notice", 3: "GPL-3.0", 4: None}
+
+
 def test_licences(spark):
     mit = licences.LICENCES["MIT"]
     rows = [
