@@ -62,7 +62,8 @@ def records(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     revisit = (F.col("first") < F.col("page_id")) & (F.col("size") >= LEAST_REVISIT)
     known = known.withColumn("refers", F.when(revisit, F.col("first")))
     safe_url = F.regexp_replace(F.regexp_replace("url", "%", "%25"), r"[\r\n]", "%0A")
-    odd = F.col("html").contains(BOUNDARY[:8]) | F.col("html").endswith("\n") | F.col("html").endswith("\r")
+    # With its head: the boundary can begin in there.
+    odd = F.concat(F.lit(_HTTP), "html").contains(BOUNDARY[:8]) | F.col("html").endswith("\n") | F.col("html").endswith("\r")
     body = F.when(odd, F.base64(F.encode("html", "UTF-8"))).otherwise(F.col("html"))
     block = F.when(F.col("refers").isNotNull(), F.lit("")).otherwise(F.concat(F.lit(_HTTP), body))
     text = lambda c: F.coalesce(c.cast("string"), F.lit(""))

@@ -78,6 +78,12 @@ def test_a_host_outvotes_a_page(spark):
 PAYLOADS = [None, "", "a" * 99, "a" * 100, "é" * 50, "x" * 120 + warc.BOUNDARY + "tail", "line\r\n\r\n", "cr\r", "\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\n" * 3, "z" * 200_000]
 
 
+def test_payloads_that_end_a_boundary_round_trip(spark):
+    payloads = [warc.VERSION + "WARC-Type: response\r\n\r\n" + "x" * 100, "\r\n" + warc.VERSION, "\n" + warc.VERSION + "tail", "WARC"]
+    found = {r["page_id"]: r for r in warc.archive(pages(spark, *[(i, "http://h.example/", p) for i, p in enumerate(payloads)])).collect()}
+    assert {i: (r["payload_bytes"], r["payload_digest"]) for i, r in found.items()} == {i: (len(p), hashlib.sha256(p.encode()).hexdigest()) for i, p in enumerate(payloads)}
+
+
 def test_archives_round_trip(spark):
     rows = [(i, f"http://www.h{i % 3}.example:80/P{i}?q=%0A\n", p) for i, p in enumerate(PAYLOADS + PAYLOADS + PAYLOADS[:4])] + [(None, None, "b" * 300), (None, None, "b" * 300), (500, "u", "b" * 300), (500, "u", "b" * 300), (501, "u", "b" * 300)]
     found = warc.archive(pages(spark, *rows)).collect()
