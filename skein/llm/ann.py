@@ -26,8 +26,8 @@ from skein.plans.ship import map_batches
 
 #: Vectors and queries that are compared in one block; larger buckets are dealt into several.
 BLOCK_VECTORS, BLOCK_QUERIES = 4096, 4096
-#: Vectors that the number of probes is fitted on, queries among them, and the recall to reach on them.
-FIT_VECTORS, FIT_QUERIES, FIT_RECALL = 20_000, 200, 0.96
+#: Vectors that the number of probes is fitted on (and components, of long ones), queries among them, and the recall to reach on them.
+FIT_VECTORS, FIT_COMPONENTS, FIT_QUERIES, FIT_RECALL = 20_000, 4_000_000, 200, 0.96
 #: Buckets on either side of a query's own that a probe may move in each projection.
 REACH = 2
 
@@ -82,9 +82,13 @@ def _normal(x: np.ndarray) -> np.ndarray:
 
 
 def clean(embeddings: DataFrame, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """``(vec_id long, v array<double>)`` of the rows that take part: finite components, not all zero, of the commonest length."""
+    """``(vec_id long, v)`` of the rows that take part: finite components, not all zero.
+
+    Single floats stay as they are, which halves what travels; all else becomes double.
+    """
     v = F.col("v")
-    rows = embeddings.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v")).where("vec_id is not null and v is not null")
+    kind = "array<float>" if embeddings.schema[vector].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = embeddings.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast(kind).alias("v")).where("vec_id is not null and v is not null")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return rows.where(finite & F.exists(v, lambda x: x != 0))
 
@@ -147,7 +151,7 @@ def _hashed(hashing: Hashing, queries: bool):
                     continue
                 ids = part.column(0).to_numpy()
                 lists = part.column(1)
-                v = lists.flatten().to_numpy().reshape(part.num_rows, -1)
+                v = lists.flatten().to_numpy().reshape(part.num_rows, -1).astype(float)
                 place = hashing.places(_aims(v) if queries else _points(v, hashing.scale))
                 for t in range(place.shape[0]):
                     cell = np.floor(place[t]).astype(np.int64)
@@ -163,6 +167,11 @@ def _hashed(hashing: Hashing, queries: bool):
     return run
 
 
+def products(q: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Inner products, summed from the first component to the last, so that a pair scores the same in every block."""
+    return np.add.accumulate(vectors * q, axis=1)[:, -1] + 0.0
+
+
 def _compare(k: int):
     """Blocks arrive as rows in order of their key, queries before vectors; out go each task's best for each query."""
 
@@ -180,17 +189,19 @@ def _compare(k: int):
             if split == 0 or split == len(ids):
                 return
             vectors, vids = v[split:], ids[split:]
+            # The matrix product rounds as it likes: what it puts near the cut is measured again, in one fixed order.
+            slack = vectors.shape[1] * 1e-15 * np.linalg.norm(v[:split], axis=1) * np.linalg.norm(vectors, axis=1).max()
             for at in range(0, split, 512):
                 upto = min(split, at + 512)
                 scores = v[at:upto] @ vectors.T
                 if scores.shape[1] > 4 * k:
                     # Ties at the cut stay in, so that ids can decide.
-                    bar = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+                    bar = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k] - slack[at:upto]
                 else:
                     bar = np.full(upto - at, -np.inf)
                 for r in range(upto - at):
                     keep = np.nonzero(scores[r] >= bar[r])[0]
-                    s, i, q = scores[r][keep], vids[keep], int(ids[at + r])
+                    s, i, q = products(v[at + r], vectors[keep]), vids[keep], int(ids[at + r])
                     if q in best:
                         s, i = np.concatenate([best[q][0], s]), np.concatenate([best[q][1], i])
                     i, first = np.unique(i, return_index=True)
@@ -203,7 +214,7 @@ def _compare(k: int):
 
         def work() -> None:
             table = pa.Table.from_batches(held).combine_chunks()
-            v = table.column("v").combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
+            v = table.column("v").combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1).astype(float)
             block(table.column("kind").to_numpy(), table.column("id").to_numpy(), v)
 
         for batch in batches:
@@ -245,7 +256,7 @@ def _smallest_ids(least: int):
     return run
 
 
-def _nearest(index: DataFrame, probes: DataFrame, classes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def _nearest(index: DataFrame, probes: DataFrame, classes: DataFrame, k: int) -> DataFrame:
     """``(query_id, top array<struct<minus,vec_id>>)``: each query's best of the vectors that share a bucket with it."""
     # Buckets too large for one block, and into how many parts each side of them is dealt.
     count = lambda df, c: df.groupBy("tab", "cell").agg(F.count("*").alias(c))
@@ -266,13 +277,19 @@ def _nearest(index: DataFrame, probes: DataFrame, classes: DataFrame, queries: D
     both = dealt(probes, 0).unionByName(dealt(index, 1))
     blocks = both.repartition("tab", "cell", "vpart", "qpart").sortWithinPartitions("tab", "cell", "vpart", "qpart", "kind")
     found = blocks.transform(map_batches, _compare(k + 1), "query_id long, rep long, score double")
-    # The best classes of each query (its own may be one of them), then their ids.
-    best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.array_distinct(F.collect_list(F.struct((-F.col("score")).alias("minus"), "rep")))), 1, k + 1).alias("best"))
-    classes_found = best.select("query_id", F.explode("best").alias("b")).select("query_id", F.col("b.rep").alias("rep"))
-    named = classes_found.join(classes.select("rep", "ids", F.col("v").alias("w")), "rep").join(queries.select(F.col("vec_id").alias("query_id"), "v"), "query_id")
-    score = F.aggregate(F.zip_with("v", "w", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    each = named.select("query_id", score.alias("score"), F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
-    return each.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "vec_id"))), 1, k).alias("top"))
+    # A pair that met in several tables counts once.  The best classes of each query (its own may be one of them), then their ids.
+    met = found.groupBy("query_id", "rep").agg(F.max("score").alias("score"))
+    best = met.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "rep"))), 1, k + 1).alias("best"))
+    classes_found = best.select("query_id", F.explode("best").alias("b")).select("query_id", F.col("b.rep").alias("rep"), F.col("b.minus").alias("minus"))
+    each = classes_found.join(classes.select("rep", "ids"), "rep").select("query_id", "minus", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
+    return each.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("minus", "vec_id"))), 1, k).alias("top"))
+
+
+def one_vector_an_id(rows: DataFrame) -> DataFrame:
+    """Of different vectors under one id, the one whose hash is smallest; only ids and hashes are shuffled."""
+    hashed = rows.withColumn("_h", F.xxhash64("v"))
+    clash = materialize(hashed.groupBy("vec_id").agg(F.min("_h").alias("_least"), F.max("_h").alias("_most")).where("_least < _most").drop("_most"), "clashing-ids")
+    return attach(hashed, clash, ["vec_id"]).where("_least is null or _h = _least").select("vec_id", "v")
 
 
 def search(embeddings: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding", tables: int = 6, projections: int = 4, width: float = 1.0, seed: int = 11) -> DataFrame:
@@ -285,9 +302,10 @@ def search(embeddings: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id",
 
     Null, zero and non-finite vectors, vectors of another length than most, and
     rows without id take no part.  Equal vectors form one class, searched once,
-    of which only the smallest ``k + 1`` ids can be among a query's nearest; rows
-    that repeat an id with the same vector count once.  With fewer than ``k``
-    other vectors there are fewer rows; a query whose buckets hold fewer is
+    of which only the smallest ``k + 1`` ids can be among a query's nearest.  Rows
+    that repeat an id with the same vector count once; of different vectors under
+    one id only that with the smallest hash takes part, so an id is never twice
+    among a query's nearest.  With fewer than ``k`` other vectors there are fewer rows; a query whose buckets hold fewer is
     compared with all vectors.  An empty table gives no rows; other columns are
     not read.
 
@@ -300,19 +318,20 @@ def search(embeddings: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id",
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if lengths is None:
         return empty
-    rows = rows.where(F.size("v") == lengths["n"])
-    local = rows.transform(map_batches, _smallest_ids(k + 1), "v array<double>, ids array<long>")
+    kind = rows.schema["v"].dataType.simpleString()
+    rows = one_vector_an_id(rows.where(F.size("v") == lengths["n"]))
+    local = rows.transform(map_batches, _smallest_ids(k + 1), f"v {kind}, ids array<long>")
     classes = local.groupBy("v").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids"))
     classes = materialize(classes.withColumn("rep", F.col("ids")[0]), "classes")
-    stats = classes.agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("norm"), F.sum(F.size("ids")).alias("ids")).first()
-    sample = np.array([r["v"] for r in classes.orderBy(F.xxhash64("rep"), "rep").limit(FIT_VECTORS).select("v").collect()], float)
+    stats = classes.agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x)).alias("norm"), F.sum(F.size("ids")).alias("ids")).first()
+    sample = np.array([r["v"] for r in classes.orderBy(F.xxhash64("rep"), "rep").limit(max(2, min(FIT_VECTORS, FIT_COMPONENTS // lengths["n"]))).select("v").collect()], float)
     hashing = fit(sample, stats["n"], math.sqrt(stats["norm"]) * (1 + 1e-12), k, tables, projections, width, seed)
 
     queries = materialize(rows.where(is_query).dropDuplicates(["vec_id"]), "queries")
-    fields = "tab int, cell long, id long, v array<double>"
+    fields = f"tab int, cell long, id long, v {kind}"
     index = classes.select("rep", "v").transform(map_batches, _hashed(hashing, False), fields)
     probes = queries.select("vec_id", "v").transform(map_batches, _hashed(hashing, True), fields)
-    top = materialize(_nearest(index, probes, classes, queries, k), "nearest")
+    top = materialize(_nearest(index, probes, classes, k), "nearest")
     # A query that its buckets left short is compared with all vectors, block by block.
     least = min(k, stats["ids"] - 1)
     short = queries.join(top.where(F.size("top") >= least).select(F.col("query_id").alias("vec_id")), "vec_id", "left_anti")
@@ -322,7 +341,7 @@ def search(embeddings: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id",
         part = F.pmod(F.xxhash64("rep"), F.lit(parts)).cast("long")
         every_part = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))
         blocks_of_all = classes.select(F.lit(-1).alias("tab"), part.alias("cell"), F.col("rep").alias("id"), "v")
-        rest = _nearest(blocks_of_all, short.select(F.lit(-1).alias("tab"), every_part.alias("cell"), F.col("vec_id").alias("id"), "v"), classes, short, k)
+        rest = _nearest(blocks_of_all, short.select(F.lit(-1).alias("tab"), every_part.alias("cell"), F.col("vec_id").alias("id"), "v"), classes, k)
         top = top.where(F.size("top") >= least).unionByName(rest)
     out = top.select("query_id", F.posexplode("top").alias("pos", "t"))
     return out.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("t.vec_id").alias("vec_id"), (-F.col("t.minus")).alias("score"))

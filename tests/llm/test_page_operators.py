@@ -182,6 +182,32 @@ def test_neighbours(spark):
     assert len(found) == total and right / total >= 0.9
 
 
+def test_recall_on_the_embeddings_table(spark, sf_dir):
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    rows = table.select("vec_id", "embedding").orderBy("vec_id").collect()
+    ids, v = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], float)
+    found: dict[int, list] = {}
+    for r in ann.search(table, F.col("vec_id") % 20 == 0).collect():
+        found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    right = 0
+    for q in ids[ids % 20 == 0].tolist():
+        score = ann.products(v[ids == q][0], v)
+        exact = [int(ids[i]) for i in np.lexsort((ids, -score)) if ids[i] != q][:20]
+        own = sorted(found[q])
+        assert [r[0] for r in own] == list(range(1, 21)) and len({r[1] for r in own}) == 20
+        assert all(score[ids == i][0] == s for _, i, s in own)
+        right += len({r[1] for r in own} & set(exact))
+    assert len(found) == (ids % 20 == 0).sum() and right >= 0.95 * 20 * len(found)
+
+
+def test_an_id_with_different_vectors_counts_once(spark):
+    rows = [(i, [1.0, i / 50]) for i in range(40)] + [(7, [3.0, 3.0]), (7, [1.0, 0.14]), (20, [0.5, -2.0]), (7, [3.0, 3.0])]
+    found = ann.search(vectors(spark, rows), F.col("vec_id") % 20 == 0, k=10).collect()
+    for q in (0, 20):
+        own = [r["vec_id"] for r in found if r["query_id"] == q]
+        assert len(own) == len(set(own)) == 10
+
+
 def test_blocks_and_short_queries_are_exact(spark, monkeypatch):
     monkeypatch.setattr(ann, "BLOCK_VECTORS", 7)
     monkeypatch.setattr(ann, "BLOCK_QUERIES", 3)
