@@ -9,6 +9,7 @@ built from DataFrame functions.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skein.plans.scratch import materialize
@@ -24,35 +25,37 @@ RULES = [
 #: What a text must hold for a rule to find anything; cheaper to look for than every match.
 HINTS = {"assign": r"(?i)(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]", "access": r"AKIA[A-Z0-9]{16}", "hex": r"[0-9a-f]{24}"}
 _SPANS = "array<struct<start:int,kind:int,stop:int>>"
+_STEPS = "array<struct<kind:int,nth:int,gap:int,whole:int,counted:int>>"
 
 
-def _spans(text: Column, kind: int) -> Column:
-    """Spans of one rule in code points, leftmost and non-overlapping, from the texts between its matches."""
+def _matches(text: Column, kind: int) -> Column:
+    """Matches of one rule in order: lengths, in code points, of the text before each, of itself and of what must be long enough."""
     name, pattern, group, least = RULES[kind]
-    # Splitting and extracting walk the same matches, so the lengths of what
-    # lies between and of the matches themselves add up to positions.
-    gaps = F.transform(F.split(text, pattern, -1), F.char_length)
-    whole = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.char_length)
-    counted = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.char_length)
     if name == "hex":  # short runs are everywhere; taking them for text between matches leaves the others where they are
         pattern = "[0-9a-f]{%d,}" % least
-        gaps = F.transform(F.split(text, pattern, -1), F.char_length)
-        whole = counted = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.char_length)
-    steps = F.zip_with(F.zip_with(gaps, whole, lambda g, w: F.struct(g.alias("gap"), w.alias("whole"))), counted, lambda s, c: F.struct(s["gap"].alias("gap"), s["whole"].alias("whole"), c.alias("counted")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("found"))
-
-    def step(state: Column, s: Column) -> Column:
-        begin = state["at"] + s["gap"]
-        stop = begin + F.coalesce(s["whole"], F.lit(0))
-        one = F.array(F.struct(begin.alias("start"), F.lit(kind).alias("kind"), stop.alias("stop"))).cast(_SPANS)
-        return F.struct(stop.alias("at"), F.when(s["counted"] >= least, F.concat(state["found"], one)).otherwise(state["found"]).alias("found"))
+    # Splitting and extracting walk the same matches, so the lengths of what
+    # lies between and of the matches themselves add up to positions.
+    found = lambda g: F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(g)), F.char_length)
+    parts = F.arrays_zip(F.transform(F.split(text, pattern, -1), F.char_length).alias("gap"), found(0).alias("whole"), found(group).alias("counted"))
+    steps = F.transform(parts, lambda m, i: F.struct(F.lit(kind).alias("kind"), i.alias("nth"), m["gap"].alias("gap"), m["whole"].alias("whole"), m["counted"].alias("counted")))
+    return F.when(text.rlike(HINTS[name]), steps).otherwise(F.array().cast(_STEPS))
 
-    return F.when(text.rlike(HINTS[name]), F.aggregate(steps, start, step, lambda s: s["found"])).otherwise(F.array().cast(_SPANS))
 
+def find(texts: DataFrame, key: str = "blob", text: str = "text") -> DataFrame:
+    """``(key, found)``: all spans ``(start, kind, stop)`` of each key's text by start, then kind.
 
-def find(text: Column) -> Column:
-    """All spans ``(start, kind, stop)`` of a text by start, then kind."""
-    return F.array_sort(F.concat(*[_spans(text, k) for k in range(len(RULES))]))
+    Rows of one key must hold one text, which is scanned whole.  Matches become
+    rows, and positions running sums over them, so time is in proportion to the
+    text's length and its matches, however many they are.
+    """
+    lengths = texts.select(key, F.concat(*[_matches(F.col(text), k) for k in range(len(RULES))]).alias("steps"))
+    # A key's rows are alike; one is enough, and with it the rest is dealt by key.
+    each = lengths.groupBy(key).agg(F.first("steps").alias("steps")).select(key, F.explode_outer("steps").alias("m")).select(key, "m.*")
+    stop = F.sum(F.col("gap") + F.coalesce(F.col("whole"), F.lit(0))).over(W.partitionBy(key, "kind").orderBy("nth").rowsBetween(W.unboundedPreceding, 0)).cast("int")
+    least = F.element_at(F.array(*[F.lit(r[3]) for r in RULES]), F.col("kind") + 1)
+    placed = each.withColumn("stop", stop)
+    span = F.struct((F.col("stop") - F.col("whole")).alias("start"), "kind", "stop")
+    return placed.groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("counted") >= least, span))).alias("found"))
 
 
 def spans_text(found: Column) -> Column:
@@ -83,7 +86,7 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, path: str = "path
         first = first.join(ledger.where(F.col("rule_version") == rule_version).select("blob"), "blob", "left_anti")
     todo = held.join(first.withColumnRenamed("blob", "b"), (F.col("blob") == F.col("b")) & F.col("path").eqNullSafe(F.col("first")), "left_semi")
     # A path may hold the same text twice.
-    scanned = todo.select("blob", F.lit(rule_version).alias("rule_version"), find(F.col("text")).alias("found")).groupBy("blob", "rule_version").agg(F.first("found").alias("found"))
+    scanned = find(todo.select("blob", "text")).select("blob", F.lit(rule_version).alias("rule_version"), "found")
     new = materialize(scanned, "ledger")
     after = new if ledger is None else ledger.select("blob", "rule_version", "found").unionByName(new)
     known = after.where(F.col("rule_version") == rule_version).select("blob", "found")
