@@ -6,8 +6,8 @@ for a single positional byte holds a 256th of all fingerprints, which is too
 long at scale; the index therefore lists fingerprints under three positional
 bytes of the same half.  Of any five equal positions three or more lie in one
 half, so no pair is missed.  Within a list the equal positional bytes of each
-pair are tallied, pairs with five or more are kept, and those are verified by
-their differing bits.
+pair are tallied, only pairs with five or more pass, and of those alone the
+differing bits are counted.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ LEAST_BYTES = 8 - MAX_BITS
 KEY_POSITIONS = [(0, 1, 2), (0, 1, 3), (0, 2, 3), (1, 2, 3), (4, 5, 6), (4, 5, 7), (4, 6, 7), (5, 6, 7)]
 #: Fingerprints of a list that are compared in one piece; longer lists are compared block by block.
 BLOCK = 1024
+#: Fingerprints of a list whose pairs are tallied together with those of other lists of its length.
+SHORT = 12
 
 
 def fingerprint(data: bytes, width: int = 3) -> int:
@@ -64,23 +66,30 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     return source.transform(map_batches, run, "doc_id long, gone_key long, fp long")
 
 
+def _passing(x: np.ndarray, max_bits: int) -> np.ndarray:
+    """Which pairs stay, by the exclusive-or of their fingerprints: the count filter first, bits only of what passes it."""
+    tally = (x.view(np.uint8).reshape(*x.shape, 8) == 0).sum(axis=-1, dtype=np.int8)
+    places = np.nonzero(tally >= 8 - max_bits)
+    stay = np.zeros(x.shape, bool)
+    stay[places] = np.bitwise_count(x[places]) <= max_bits
+    return stay
+
+
+def _short_links(fps: np.ndarray, starts: np.ndarray, n: int, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (as positions) of all lists of one short length ``n``, which begin at ``starts``."""
+    i, j = np.triu_indices(n, 1)
+    firsts, seconds = (starts[:, None] + i).ravel(), (starts[:, None] + j).ravel()
+    stay = _passing(fps[firsts] ^ fps[seconds], max_bits)
+    return seconds[stay], firsts[stay]
+
+
 def _component_edges(fps: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
     """Enough of a list's links (as positions) to connect what all its links connect."""
     n = len(fps)
-    if n <= 12:
-        values, links = fps.tolist(), []
-        for i in range(n):
-            for j in range(i):
-                x = values[i] ^ values[j]
-                if x.bit_count() <= max_bits:
-                    links.append((i, j))
-        return links
     label = np.arange(n)
     firsts, seconds = [], []
     for i in range(0, n, 128):
-        x = fps[i : i + 128, None] ^ fps[None, :]
-        tally = (x.view(np.uint8).reshape(*x.shape, 8) == 0).sum(axis=2)
-        a, b = np.nonzero((tally >= 8 - max_bits) & (np.bitwise_count(x) <= max_bits))
+        a, b = np.nonzero(_passing(fps[i : i + 128, None] ^ fps[None, :], max_bits))
         keep = b < a + i
         firsts.append(a[keep] + i)
         seconds.append(b[keep])
@@ -103,12 +112,19 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fields = lists.values
         fp = fields.field(0).to_numpy(zero_copy_only=False).view(np.uint64)
         rep = fields.field(1).to_numpy(zero_copy_only=False)
-        src, dst = [], []
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            for i, j in _component_edges(fp[a:b], MAX_BITS):
-                src.append(rep[a + i])
-                dst.append(rep[a + j])
-        yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
+        sizes = np.diff(cuts)
+        src, dst = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for n in range(2, SHORT + 1):
+            starts = cuts[:-1][sizes == n].astype(np.int64)
+            for at in range(0, len(starts), 4096):
+                i, j = _short_links(fp, starts[at : at + 4096], n, MAX_BITS)
+                src.append(rep[i])
+                dst.append(rep[j])
+        for k in np.nonzero(sizes > SHORT)[0].tolist():
+            pairs = np.array(_component_edges(fp[cuts[k] : cuts[k + 1]], MAX_BITS), np.int64).reshape(-1, 2) + cuts[k]
+            src.append(rep[pairs[:, 0]])
+            dst.append(rep[pairs[:, 1]])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(src), pa.int64()), pa.array(np.concatenate(dst), pa.int64())], names=["src", "dst"])
 
 
 def fingerprint_links(classes: DataFrame, block: int = BLOCK) -> DataFrame:
