@@ -75,6 +75,86 @@ def test_a_host_outvotes_a_page(spark):
     assert found[9] == "A short paragraph that is beside it."
 
 
+def test_names_go_by_whole_words():
+    body = "<p>A paragraph of the article that is long enough to count.</p>"
+    text = "A paragraph of the article that is long enough to count."
+    for names in ("content has-sidebar", "hentry comments-open", "story side-by-side", "no-ads post", "elementor-widget-container", "threads", "adapted unrelated", "post with-comments"):
+        page = html_extract.Page(f"<body><nav>Menu</nav><div class='{names}'>{body}</div><div class=sidebar>{body}</div><footer>f</footer>")
+        assert page.text(None) == text, names
+    for names in ("sidebar", "site-header", "ad", "ad_box", "comment-body", "postComments", "relatedPosts", "ad-12", "left-sidebar wide", "side"):
+        page = html_extract.Page(f"<body><article>{body}<div class='{names}'>Beside the point, at some length to tempt.</div></article>")
+        assert page.text(None) == text, names
+    # The article's own headline, adverts inside of paragraphs, scripts with odd quotes, tags that cannot close themselves.
+    read = lambda x: html_extract.Page(x).text(None)
+    assert read("<article><div class=entry-header><h1>The headline</h1></div>" + body) == read("<article><header><h1>The headline</h1></header>" + body) == "The headline " + text
+    assert read("<p>One <span class=ad>buy <b>this</b> now</span>two <a class='share' href=x>tell</a>three.</p><p>Four <em class=comments>5</p><p>six</p>") == "One two three. Four six"
+    assert read("<script data-x=it's>var x='<p>no</p>'</script><p>yes</p>") == read("<script src=x />no</script><p>yes</p>") == "yes"
+    assert read("<p data-id=ad data-class='ad'>kept</p><!--><p>also</p><svg width=1 /><p>and this</p>") == "kept also and this"
+    assert read("<ul><li class=comment><p>No</p><li><p>Yes</ul><table><tr><td class=ad>No<td>Cell") == "Yes Cell"
+
+
+def test_deep_and_broken_pages_take_memory_in_proportion():
+    import tracemalloc
+
+    for page in ("<div>" * 100_000 + "deep text" + "</div>" * 100_000, "<div class=a>x" * 50_000, "<div>" * 50_000 + "</section>" * 50_000, "<p a='" * 50_001, "<script x" * 50_000, "<li><p class=ad>x" * 50_000):
+        tracemalloc.start()
+        page = html_extract.Page(page)
+        votes = page.scores()
+        page.text(next(iter(votes), None))
+        assert tracemalloc.get_traced_memory()[1] < 200e6 and all(len(p) <= html_extract.PATH_CHARS for p in votes)
+        tracemalloc.stop()
+
+
+def made_page(rnd, template):
+    """A page and its article's text by construction."""
+    say = lambda n: " ".join(rnd.choice(["river", "stone", "&amp;", "walks", "blue", "é", "of", "the", "long", "x&lt;y"]) for _ in range(n))
+    plain = lambda t: t.replace("&amp;", "&").replace("&lt;", "<")
+    blocks, texts = [], []
+    for _ in range(rnd.randint(3, 7)):
+        t = say(rnd.randint(12, 40))
+        tag = rnd.choice(["p", "p", "p", "li", "blockquote", "h2"])
+        inner = t.replace(" of ", " <b>of</b>\n ").replace(" long ", " long<!-- note --> ")
+        if rnd.random() < 0.3:
+            inner += rnd.choice(["<span class='ad'>buy this</span>", "<script>no('</p>')</script>", "<a class=share href=#>Share it</a>"])
+        blocks.append(f"<ul><{tag}>{inner}</ul>" if tag == "li" else f"<{tag}>{inner}</{tag}>")
+        texts.append(plain(t))
+        if rnd.random() < 0.4:
+            blocks.append(rnd.choice([f"<div class='{c}'><p>{say(30)}</p></div>" for c in ("ad", "comments", "related-posts", "newsletter_box")] + [f"<aside>{say(9)}</aside>", f"<form>{say(5)}<input></form>", "<style>p{}</style>"]))
+    around = [f"<div class='{c}'><p>{say(rnd.randint(5, 60))}</p></div>" for c in ("sidebar", "cookie-notice", "site-footer", "navbar")]
+    rnd.shuffle(around)
+    return f"<html><head><title>{say(4)}</title></head><body>{around[0]}{around[1]}" + template.format("".join(blocks)) + f"{around[2]}<footer>{say(20)}</footer></body></html>", " ".join(texts)
+
+
+TEMPLATES = ["<article>{}</article>", "<div id=page><div class='content has-sidebar'>{}</div></div>", "<main><div class='story side-by-side'><div>{}</div></div></main>", "<div class='hentry comments-open post-77'>{}</div>", "<table><tr><td>{}</table>", "<section class='entry'>{}</section>"]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_made_pages_give_what_they_were_made_of(spark, seed):
+    rnd = random.Random(seed)
+    rows, want = [], {}
+    for i in range(120):
+        # Hosts of one template, of several, and without a name.
+        host = rnd.randrange(8)
+        template = TEMPLATES[host % 6] if host < 6 else rnd.choice(TEMPLATES)
+        page, want[i] = made_page(rnd, template)
+        rows.append((i, f"http://h{host}.example/{i}" if host < 7 else None, page))
+    found = {r["page_id"]: r["text"] for r in html_extract.extract(pages(spark, *rows, *rows[:3])).collect()}
+    assert found == want
+
+
+def test_the_host_decides_between_templates(spark):
+    """Each page alone would take its longer half; the host's winner is the template of most of its text, where a page has it."""
+    long, short = "<p>" + "Much running text stands in this part of it. " * 12 + "</p>", "<p>Little running text is in here.</p>"
+    two = "<body><div class='story'>{}</div><div class='extra'>{}</div>"
+    rows = [(i, "http://a.example/", two.format(long, short)) for i in range(6)] + [(6, "http://a.example/", two.format(short, long)), (7, "http://a.example/", f"<body><section>{long}</section>{short}"), (8, "http://b.example/", two.format(short, long))]
+    found = {r["page_id"]: (r["path"], r["text"][:6]) for r in html_extract.extract(pages(spark, *rows)).collect()}
+    assert {found[i] for i in range(6)} == {("/body/div.story", "Much r")} and found[6] == ("/body/div.story", "Little")
+    assert found[7] == ("/body/div.story", "Much r") and found[8] == ("/body/div.extra", "Much r")
+    # Ties go to the longer, then the greater path.
+    rows = [(i, "http://t.example/", f"<body><div class={c}>{short}</div>") for i, c in enumerate("ab")]
+    assert {r["path"] for r in html_extract.extract(pages(spark, *rows)).collect()} == {"/body/div.b"}
+
+
 PAYLOADS = [None, "", "a" * 99, "a" * 100, "é" * 50, "x" * 120 + warc.BOUNDARY + "tail", "line\r\n\r\n", "cr\r", "\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\n" * 3, "z" * 200_000]
 
 
