@@ -69,20 +69,29 @@ NOTICES = {"GPL-3.0-notice": "This work is licensed under the GNU General Public
 LICENCES |= {f.name.removesuffix(".txt"): f.read_text(encoding="utf-8") for f in sorted((files(__package__) / "licence_texts").iterdir(), key=lambda f: f.name) if f.name.endswith(".txt")}
 LICENCES |= NOTICES
 
-#: (pattern, replacement) in order; they mean the same to Java's and to RE2's engine.
+_TITLE = r"\A(the )?[a-z0-9.-]+( [a-z0-9.-]+){0,3} licen[cs]e( \([a-z0-9 .-]+\))?[ \t]*(\n|\z)"
+#: (pattern, replacement) in order; they mean the same to Java's and to RE2's engine.  A line is a notice only if it
+#: looks like one (the sign, a year or a blank to fill in), and a title only at the head: lines of a wrapped text begin
+#: with "copyright" and end with "license" too.
 STEPS = [
     (r"\r\n?", "\n"),
-    (r"(?m)^[ \t/*#;-]*(copyright( |:|\(|$)|\(c\)|©|all rights reserved)[^\n]*$", " "),
-    (r"(?m)^[ \t/*#;-]*(the )?[a-z0-9.-]+( [a-z0-9.-]+)? licen[cs]e( \([a-z0-9 .-]+\))?[ \t]*$", " "),
+    (r"(?m)^[ \t/*#;-]*((copyright[ \t:]*(\(c\)|©|<|\[|\{|[0-9]{4})|copyright ([a-z.-]+,? ){1,4}((19|20)[0-9]{2}[ \t,.-]*)+$|\(c\)[ \t]*(copyright|<|\[|\{|[0-9]{4}|[^\n]*(19|20)[0-9]{2})|©)[^\n]*|all rights reserved[.]?[ \t]*)$", " "),
+    (r"\A[^a-z0-9]+", ""),
+    (_TITLE, ""),
+    (r"\A[^a-z0-9]+", ""),
+    (_TITLE, ""),
     (r"[^a-z0-9]+", " "),
-    (r" +", " "),
 ]
 
 
-def canonical(text: Column) -> Column:
+def _steps(titles: bool) -> list[tuple[str, str]]:
+    return [s for s in STEPS if titles or s[0] != _TITLE]
+
+
+def canonical(text: Column, titles: bool = True) -> Column:
     """Lower case, without copyright and title lines, words of letters and digits with one space between, spellings made one."""
     out = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    for pattern, new in STEPS:
+    for pattern, new in _steps(titles):
         out = F.regexp_replace(out, pattern, new)
     out = F.concat(F.lit(" "), F.trim(out), F.lit(" "))
     for old, new in SPELLINGS:
@@ -90,10 +99,10 @@ def canonical(text: Column) -> Column:
     return F.trim(out)
 
 
-def canonical_sql(text: str) -> str:
+def canonical_sql(text: str, titles: bool = True) -> str:
     """The same in DuckDB's dialect."""
     out = f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    for pattern, new in STEPS:
+    for pattern, new in _steps(titles):
         out = f"regexp_replace({out}, '{pattern}', '{new}', 'g')"
     out = f"' ' || trim({out}) || ' '"
     for old, new in SPELLINGS:
@@ -102,10 +111,15 @@ def canonical_sql(text: str) -> str:
 
 
 def known_digests(spark, licences: dict[str, str] | None = None) -> DataFrame:
-    """``(digest, licence)`` of the known texts; texts with one canonical form share the first name."""
+    """``(digest, licence)`` of the known texts; texts with one canonical form share the first name.
+
+    A text is known without its title and with it, as wrapping may join the title
+    to the line below.
+    """
     rows = list((LICENCES if licences is None else licences).items())
     table = spark.createDataFrame(rows, "licence string, body string")
-    return table.select(F.sha2(canonical(F.col("body")), 256).alias("digest"), "licence").groupBy("digest").agg(F.min("licence").alias("licence"))
+    both = table.select("licence", F.explode(F.array(canonical(F.col("body")), canonical(F.col("body"), titles=False))).alias("form"))
+    return both.select(F.sha2("form", 256).alias("digest"), "licence").groupBy("digest").agg(F.min("licence").alias("licence"))
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", licences: dict[str, str] | None = None) -> DataFrame:

@@ -99,8 +99,9 @@ from docs left join hit_words on docs.doc_id = hit_words.doc_id left join hit_it
 def _licences_sql() -> str:
     rows = ", ".join("('" + name + "', '" + body.replace("'", "''") + "')" for name, body in licences.LICENCES.items())
     return f"""
-with known as (select sha256({licences.canonical_sql("body")}) as digest, min(licence) as licence
-  from (values {rows}) as t(licence, body) group by 1),
+with texts(licence, body) as (values {rows}),
+forms as (select licence, {licences.canonical_sql("body")} as form from texts union all select licence, {licences.canonical_sql("body", titles=False)} from texts),
+known as (select sha256(form) as digest, min(licence) as licence from forms group by 1),
 hashed as (select doc_id, sha256({licences.canonical_sql("coalesce(text, '')")}) as digest from documents)
 select doc_id, hashed.digest, licence from hashed left join known on hashed.digest = known.digest and hashed.digest <> sha256('')"""
 

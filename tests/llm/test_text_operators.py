@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 
 import numpy as np
 import pytest
@@ -316,5 +317,42 @@ def test_licences(spark):
     assert licences.scan(docs(spark)).count() == 0
 
 
+def wrapped(text, width, prefix=""):
+    """Paragraphs filled anew; notices keep lines of their own."""
+    out, words = [], []
+
+    def flush():
+        if words:
+            out.extend(textwrap.wrap(" ".join(words), width, break_long_words=False))
+            words.clear()
+
+    for line in text.split("\n"):
+        notice = re.match(r"[ \t]*(copyright[ \t:]*([(]c[)]|<|\[|[0-9]{4})|all rights reserved[.]?$)", line, re.I)
+        if notice or not line.strip():
+            flush()
+            out.append(line)
+        else:
+            words.append(line.strip())
+    flush()
+    return "\n".join(prefix + x for x in out)
+
+
+def test_wrapping_is_no_difference(spark):
+    rows, names = [], {}
+    for name, text in licences.LICENCES.items():
+        for width in range(50, 101) if len(text) < 3000 else (50, 55, 63, 72, 79, 80, 93, 100):
+            for prefix in ("", " * ") if width % 10 == 0 else ("",):
+                names[len(rows)] = name
+                rows.append((len(rows), wrapped(text, width, prefix)))
+    found = {r["doc_id"]: r["licence"] for r in licences.scan(docs(spark, *rows)).collect()}
+    assert {(names[i], found[i]) for i in names if found[i] != names[i]} == set()
+    # Notices of all kinds go; sentences that only begin like one stay.
+    isc = licences.LICENCES["ISC"]
+    heads = ["ISC License\n\n", "Copyright (c) 2004-2010 by A. Body\n\n", "The ISC License\n\nCopyright 2019 A. Body <a@b.example>\nAll rights reserved.\n\n", "/* © A. Body */\n", "(C) 1999 A. Body\n", "Copyright <YEAR> <OWNER>\n", "Copyright A. Body, 2020\r\n"]
+    others = ["Copyright holders may do as they please.\n", "(c) a clause of its own\n"]
+    found = {r["doc_id"]: r["licence"] for r in licences.scan(docs(spark, *enumerate(h + isc for h in heads + others))).collect()}
+    assert [found[i] for i in range(len(heads + others))] == ["ISC"] * len(heads) + [None] * len(others)
+
+
 def test_digest_of_items():
     assert decontam.items_digest(["10", "9"]) == hashlib.sha256(b"10,9").hexdigest()
