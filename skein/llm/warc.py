@@ -1,8 +1,10 @@
 """WARC archives of pages, and capture histories by external index merge.
 
-Archives are written by Spark's text writer and read by its text reader with the
-record boundary as line separator, so any file system that Spark knows will do
-and a file is split among tasks.  Index entries of what was read are sorted into
+Archives are written by Spark's text writer and read by its text reader, so any
+file system that Spark knows will do and a file is split among tasks.  What
+separates records there is the version line together with the first header, which
+names the archive's own warcinfo record: a random id that no payload can hold, as
+it is drawn after the payloads were made.  Index entries of what was read are sorted into
 runs of bounded size; runs are cut at range bounds, and each range is merged from
 its runs by a loser tree on URL key and time.
 """
@@ -10,8 +12,10 @@ its runs by a loser tree on URL key and time.
 from __future__ import annotations
 
 import base64
+import datetime
 import hashlib
 import re
+import uuid
 from bisect import bisect_right
 from collections import deque
 from collections.abc import Callable, Iterable, Iterator
@@ -25,8 +29,8 @@ from skein.plans.scratch import materialize, new_path
 from skein.plans.ship import map_batches
 
 VERSION = "WARC/1.1\r\n"
-#: Between records; a payload that could be taken for one is written in base64.
-BOUNDARY = "\r\n\r\n" + VERSION
+#: What a revisit record is one of.
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Payloads shorter than this are always written in full.
 LEAST_REVISIT = 100
 #: Index entries of a run, and of a piece of a run that travels as one row.
@@ -47,61 +51,96 @@ def url_key(url: str) -> str:
     return ",".join(reversed(host.split("."))) + ")" + (m[2].lower() or "/")
 
 
-def records(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """One row for each page: ``record`` string, a whole WARC record without its version line.
+def separator(archive_id: str) -> str:
+    """What every record but the warcinfo records begins with."""
+    return f"{VERSION}WARC-Warcinfo-ID: <urn:uuid:{archive_id}>\r\n"
 
-    Of pages with equal payloads of LEAST_REVISIT bytes or more, those with the
-    smallest id are responses and the others revisits of that id.  Rows without
-    id are responses.  The capture time is the page id in seconds after 2020.
+
+def _stamp(page_id: str) -> Column:
+    return F.date_format(F.timestamp_seconds(F.coalesce(F.pmod(page_id, F.lit(4_000_000_000)), F.lit(0)) + 1_577_836_800), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def _record_id(page_id: str, url: str, digest: str) -> Column:
+    name = F.md5(F.concat_ws("|", F.coalesce(F.col(page_id).cast("string"), F.lit("")), url, digest))
+    return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", name.substr(1, 8), name.substr(9, 4), name.substr(13, 4), name.substr(17, 4), name.substr(21, 12)), F.lit(">"))
+
+
+def _safe(url: str) -> Column:
+    return F.regexp_replace(F.regexp_replace(url, "\n", "%0A"), "\r", "%0D")
+
+
+def _header(name: str, value: Column) -> Column:
+    """A header line, or nothing if the value is null."""
+    return F.coalesce(F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit("\r\n")), F.lit(""))
+
+
+def records(pages: DataFrame, archive_id: str, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """One row for each page: ``value`` string, a whole WARC record up to its last line end.
+
+    The payload is the html in UTF-8 as it is.  Of pages with equal payloads of
+    LEAST_REVISIT bytes or more, those with the smallest id are responses and the
+    others revisits of that one (the smallest URL's, if the id repeats).  Rows
+    without id are responses.  The capture time is the page id in seconds after
+    2020.  The first row of each task, and so of each file, begins with a
+    warcinfo record.
     """
     payload = F.coalesce(F.col(html), F.lit(""))
     source = pages.select(F.col(page_id).cast("long").alias("page_id"), F.coalesce(F.col(url), F.lit("")).alias("url"), payload.alias("html")).withColumns({"size": F.octet_length(F.col("html")).cast("long"), "digest": F.sha2(F.col("html"), 256)})
-    groups = source.where(f"size >= {LEAST_REVISIT} and page_id is not null").groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last")
-    repeated = materialize(groups.select("digest", "first"), "repeated")
+    groups = source.where(f"size >= {LEAST_REVISIT} and page_id is not null").groupBy("digest").agg(F.min(F.struct("page_id", "url")).alias("first"), F.max("page_id").alias("last")).where("first.page_id < last")
+    repeated = materialize(groups.select("digest", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url")), "repeated")
     known = attach(source, repeated, ["digest"])
-    revisit = (F.col("first") < F.col("page_id")) & (F.col("size") >= LEAST_REVISIT)
-    known = known.withColumn("refers", F.when(revisit, F.col("first")))
-    safe_url = F.regexp_replace(F.regexp_replace("url", "%", "%25"), r"[\r\n]", "%0A")
-    # With its head: the boundary can begin in there.
-    odd = F.concat(F.lit(_HTTP), "html").contains(BOUNDARY[:8]) | F.col("html").endswith("\n") | F.col("html").endswith("\r")
-    body = F.when(odd, F.base64(F.encode("html", "UTF-8"))).otherwise(F.col("html"))
-    block = F.when(F.col("refers").isNotNull(), F.lit("")).otherwise(F.concat(F.lit(_HTTP), body))
-    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    kind = F.when(F.col("refers").isNotNull(), "revisit").otherwise("response")
-    stamp = F.date_format(F.timestamp_seconds(F.coalesce(F.pmod("page_id", F.lit(4_000_000_000)), F.lit(0)) + 1_577_836_800), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    name = F.md5(F.concat_ws("|", text(F.col("page_id")), "url", "digest"))
-    uuid = F.concat_ws("-", name.substr(1, 8), name.substr(9, 4), name.substr(13, 4), name.substr(17, 4), name.substr(21, 12))
+    revisit = (F.col("first_id") < F.col("page_id")) & (F.col("size") >= LEAST_REVISIT)
+    for_revisit = lambda c: F.when(revisit, c)
+    block = F.concat(F.lit(_HTTP), F.when(F.coalesce(revisit, F.lit(False)), F.lit("")).otherwise(F.col("html")))
     headers = [
-        ("WARC-Type: ", kind), ("WARC-Record-ID: <urn:uuid:", F.concat(uuid, F.lit(">"))), ("WARC-Date: ", stamp), ("WARC-Target-URI: ", safe_url),
-        ("WARC-Payload-Digest: sha256:", F.col("digest")), ("X-Payload-Length: ", text(F.col("size"))), ("X-Page-Id: ", text(F.col("page_id"))), ("X-Refers-To-Page-Id: ", text(F.col("refers"))),
-        ("X-Payload-Encoding: ", F.when(odd, "base64").otherwise("identity")), ("Content-Type: ", F.lit("application/http; msgtype=response")), ("Content-Length: ", F.octet_length(block).cast("string")),
+        _header("WARC-Type", F.coalesce(for_revisit(F.lit("revisit")), F.lit("response"))), _header("WARC-Record-ID", _record_id("page_id", "url", "digest")), _header("WARC-Date", _stamp("page_id")),
+        _header("WARC-Target-URI", F.when(F.col("url") != "", _safe("url"))), _header("X-Target-URI-Base64", F.when(F.col("url").rlike(r"[\r\n]|^\s|\s$"), F.regexp_replace(F.base64(F.encode("url", "UTF-8")), r"\s", ""))),
+        _header("WARC-Payload-Digest", F.concat(F.lit("sha256:"), "digest")), _header("X-Page-Id", F.col("page_id")),
+        _header("WARC-Profile", for_revisit(F.lit(PROFILE))), _header("WARC-Refers-To", for_revisit(_record_id("first_id", "first_url", "digest"))),
+        _header("WARC-Refers-To-Target-URI", for_revisit(F.when(F.col("first_url") != "", _safe("first_url")))), _header("WARC-Refers-To-Date", for_revisit(_stamp("first_id"))), _header("X-Refers-To-Page-Id", for_revisit(F.col("first_id"))),
+        _header("Content-Type", F.lit("application/http; msgtype=response")), _header("Content-Length", F.octet_length(block)),
     ]
-    head = F.concat(*[x for k, v in headers for x in (F.lit(k), v, F.lit("\r\n"))], F.lit("\r\n"))
-    return known.select(F.concat(F.lit(VERSION), head, block, F.lit("\r\n\r")).alias("value"))
+    fields = "software: skein\r\nformat: WARC File Format 1.1\r\n"
+    now = datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+    info = f"{VERSION}WARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{archive_id}>\r\nWARC-Date: {now}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(fields)}\r\n\r\n{fields}\r\n\r\n"
+    # The lower 33 bits count the rows of a task.
+    first = F.when(F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0, info).otherwise("")
+    return known.select(F.concat(first, F.lit(separator(archive_id)), *headers, F.lit("\r\n"), block, F.lit("\r\n\r")).alias("value"))
 
 
 def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html") -> str:
-    """Write the pages' records as uncompressed WARC files under ``path``; a file for each task."""
-    records(pages, page_id, url, html).write.option("lineSep", "\n").text(path)
-    return path
+    """Write the pages' records as uncompressed WARC files under ``path``, a file for each task; returns the archive's id."""
+    archive_id = str(uuid.uuid4())
+    records(pages, archive_id, page_id, url, html).write.option("lineSep", "\n").text(path)
+    return archive_id
+
+
+def archive_id_of(spark: SparkSession, path: str) -> str | None:
+    """The id in the first warcinfo record of the archives under ``path``; null if they are empty."""
+    lines = spark.read.option("lineSep", "\r\n").text(path).where(F.col("value").startswith("WARC-Record-ID: <urn:uuid:")).first()
+    return lines["value"].removeprefix("WARC-Record-ID: <urn:uuid:").removesuffix(">") if lines else None
 
 
 def parse_record(data: bytes) -> dict:
-    """One record's index entry; the digest and the length are those of the payload that was read."""
-    head, _, rest = data.removeprefix(VERSION.encode()).partition(b"\r\n\r\n")
+    """Index entry of a record without its separator.
+
+    The block is taken by its length; the digest and the length are those of the
+    payload that was read, and null (the length) for a revisit, which has none.
+    """
+    head, _, rest = data.partition(b"\r\n\r\n")
     fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n") if ": " in line)
-    block = rest[: int(fields["Content-Length"])]
+    length = int(fields["Content-Length"])
+    block = rest[:length]
+    if rest[length:] != b"\r\n\r\n":
+        raise ValueError(f"{fields['WARC-Record-ID']} has another length than it says")
     number = lambda k: int(fields[k]) if fields.get(k) else None
-    if fields["WARC-Type"] == "revisit":
-        size, digest = number("X-Payload-Length"), fields["WARC-Payload-Digest"].removeprefix("sha256:")
-    else:
+    size, digest = None, fields["WARC-Payload-Digest"].removeprefix("sha256:")
+    if fields["WARC-Type"] == "response":
         payload = block.partition(b"\r\n\r\n")[2]
-        if fields.get("X-Payload-Encoding") == "base64":
-            payload = base64.b64decode(payload)
-        size, digest = len(payload), hashlib.sha256(payload).hexdigest()
-        if digest != fields["WARC-Payload-Digest"].removeprefix("sha256:"):
+        size = len(payload)
+        if digest != hashlib.sha256(payload).hexdigest():
             raise ValueError(f"payload of {fields['WARC-Record-ID']} is damaged")
-    url = fields.get("WARC-Target-URI", "").replace("%0A", "\n").replace("%25", "%")
+    url = base64.b64decode(fields["X-Target-URI-Base64"]).decode() if "X-Target-URI-Base64" in fields else fields.get("WARC-Target-URI", "")
     return {"urlkey": url_key(url), "time": fields["WARC-Date"], "page_id": number("X-Page-Id"), "payload_bytes": size, "payload_digest": digest, "record_type": fields["WARC-Type"], "refers_to": number("X-Refers-To-Page-Id"), "url": url}
 
 
@@ -245,31 +284,46 @@ def range_bounds(pages: DataFrame, ranges: int, page_id: str = "page_id", url: s
     They include time and id, so one URL's captures may span ranges.
     """
     sample = pages.select(F.coalesce(F.col(url), F.lit("")).alias("url"), F.col(page_id).cast("long").alias("id")).orderBy(F.xxhash64("id", "url")).limit(BOUND_SAMPLE)
-    sample = sample.withColumn("time", F.date_format(F.timestamp_seconds(F.coalesce(F.pmod("id", F.lit(4_000_000_000)), F.lit(0)) + 1_577_836_800), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    sample = sample.withColumn("time", _stamp("id"))
     keys = sorted((url_key(r["url"]), r["time"], -1 if r["id"] is None else r["id"]) for r in sample.collect())
     return [keys[i * len(keys) // ranges] for i in range(1, ranges)] if keys else []
 
 
-def read_histories(spark: SparkSession, path: str, bounds: list[tuple]) -> DataFrame:
+def read_histories(spark: SparkSession, path: str, bounds: list[tuple], archive_id: str | None = None) -> DataFrame:
     """Capture histories of the archives under ``path``, globally ordered by ``(range, position)``.
 
     Columns: ``range int, position long`` and the index entry: ``urlkey, time,
     page_id, payload_bytes, payload_digest, record_type, refers_to, url``.
+    ``payload_bytes`` of a revisit is null.
     """
-    raw = spark.read.option("lineSep", BOUNDARY).text(path).select(F.col("value").cast("binary").alias("value")).where(F.octet_length("value") > 0)
+    archive_id = archive_id or archive_id_of(spark, path) or ""
+    raw = spark.read.option("lineSep", separator(archive_id)).text(path).select(F.col("value").cast("binary").alias("value"))
+    # Before the first separator of a file stands its warcinfo record.
+    raw = raw.where((F.octet_length("value") > 0) & ~F.col("value").cast("string").startswith(VERSION + "WARC-Type: warcinfo\r\n"))
     runs = raw.transform(map_batches, _runs(bounds), f"range int, k1 string, k2 string, k3 long, k4 string, run long, piece array<{_CAPTURE_SQL}>")
     dealt = runs.repartition(len(bounds) + 1, "range").sortWithinPartitions("range", "k1", "k2", "k3", "k4", "run")
     columns = _CAPTURE_SQL.removeprefix("struct<").removesuffix(">").replace(":", " ")
     return dealt.select("range", "run", "piece").transform(map_batches, _merged, f"range int, position long, {columns}")
 
 
+def resolve_revisits(histories: DataFrame) -> DataFrame:
+    """Histories whose revisits have the length of the response that they refer to and share the digest with; null where there is none."""
+    held = materialize(histories, "histories")
+    wanted = held.where("record_type = 'revisit'").select(F.col("refers_to").alias("page_id"), "payload_digest").distinct()
+    responses = held.where("record_type = 'response'").join(wanted, ["page_id", "payload_digest"], "left_semi").groupBy("page_id", "payload_digest").agg(F.max("payload_bytes").alias("_bytes"))
+    responses = materialize(responses.withColumnRenamed("page_id", "refers_to"), "responses")
+    return attach(held, responses, ["refers_to", "payload_digest"]).withColumn("payload_bytes", F.coalesce("payload_bytes", "_bytes")).select(histories.columns)
+
+
 def archive(pages: DataFrame, path: str | None = None, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Write pages as WARC, read them back, and return their capture histories.
 
     A null html is the empty payload, a null URL the empty one, a null id stays
-    null.  Repeated rows are repeated captures; pages of any length and content
-    round-trip; an empty table gives no rows; other columns are not written.
+    null.  Repeated rows are repeated captures (of one record id); pages of any
+    length and content round-trip; an empty table gives no rows; other columns are
+    not written.
     """
     spark = pages.sparkSession
-    path = write_archives(pages, path or new_path(spark, "archives"), page_id, url, html)
-    return read_histories(spark, path, range_bounds(pages, int(spark.conf.get("spark.sql.shuffle.partitions")), page_id, url))
+    path = path or new_path(spark, "archives")
+    archive_id = write_archives(pages, path, page_id, url, html)
+    return resolve_revisits(read_histories(spark, path, range_bounds(pages, int(spark.conf.get("spark.sql.shuffle.partitions")), page_id, url), archive_id))

@@ -155,13 +155,46 @@ def test_the_host_decides_between_templates(spark):
     assert {r["path"] for r in html_extract.extract(pages(spark, *rows)).collect()} == {"/body/div.b"}
 
 
-PAYLOADS = [None, "", "a" * 99, "a" * 100, "é" * 50, "x" * 120 + warc.BOUNDARY + "tail", "line\r\n\r\n", "cr\r", "\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\n" * 3, "z" * 200_000]
-
-
-def test_payloads_that_end_a_boundary_round_trip(spark):
-    payloads = [warc.VERSION + "WARC-Type: response\r\n\r\n" + "x" * 100, "\r\n" + warc.VERSION, "\n" + warc.VERSION + "tail", "WARC"]
-    found = {r["page_id"]: r for r in warc.archive(pages(spark, *[(i, "http://h.example/", p) for i, p in enumerate(payloads)])).collect()}
-    assert {i: (r["payload_bytes"], r["payload_digest"]) for i, r in found.items()} == {i: (len(p), hashlib.sha256(p.encode()).hexdigest()) for i, p in enumerate(payloads)}
+PAYLOADS = [None, "", "a" * 99, "a" * 100, "é" * 50, "x" * 120 + "\r\n\r\n" + warc.separator("0") + "tail", "line\r\n\r\n", "cr\r", "\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\n" * 3, "z" * 200_000]
+
+
+def test_payloads_that_look_like_records_round_trip(spark, tmp_path):
+    payloads = [warc.VERSION + "WARC-Type: response\r\n\r\n" + "x" * 100, "\r\n" + warc.VERSION, "\n" + warc.VERSION + "tail", "WARC", warc.separator("") * 40, "W" * 65_536 + warc.VERSION, "\r\n" * 40_000 + "WARC"]
+    rnd = random.Random(1)
+    payloads += ["".join(rnd.choice(["\r\n", "\r", "\n", "WARC/1.1", "WARC-", "WARC-Warcinfo-ID: <urn:uuid:", "x", "é"]) for _ in range(rnd.randrange(60))) for _ in range(80)]
+    df = pages(spark, *[(i, "http://h.example/", p) for i, p in enumerate(payloads)])
+    want = {i: (len(p.encode()), hashlib.sha256(p.encode()).hexdigest()) for i, p in enumerate(payloads)}
+    path = str(tmp_path / "a")
+    name = warc.write_archives(df.coalesce(1), path)
+    assert warc.archive_id_of(spark, path) == name
+    # However the files are split among tasks.
+    for size in ("128m", "1009b"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            found = warc.resolve_revisits(warc.read_histories(spark, path, [])).collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert {r["page_id"]: (r["payload_bytes"], r["payload_digest"]) for r in found} == want and len(found) == len(payloads)
+
+
+def test_records_are_those_of_the_standard(spark, tmp_path):
+    html = "<p>" + "é" * 100
+    path = str(tmp_path / "a")
+    warc.write_archives(pages(spark, (2, "http://b.example/?a=%20b", html), (1, "http://a.example/\n", html), (3, None, "")).coalesce(1), path)
+    data = b"".join(f.read_bytes() for f in sorted((tmp_path / "a").glob("part*")))
+    seen = {}
+    while data:  # by lengths alone
+        head, _, rest = data.partition(b"\r\n\r\n")
+        version, *lines = head.decode().split("\r\n")
+        fields = dict(x.split(": ", 1) for x in lines)
+        n = int(fields["Content-Length"])
+        assert version == "WARC/1.1" and rest[n : n + 4] == b"\r\n\r\n"
+        seen[fields.get("X-Page-Id", "info")], data = (fields, rest[:n]), rest[n + 4 :]
+    assert list(seen)[0] == "info" and seen["info"][0]["WARC-Type"] == "warcinfo" and len(seen) == 4
+    (one, block), (two, again) = seen["1"], seen["2"]
+    assert block.partition(b"\r\n\r\n")[2] == html.encode() and again.endswith(b"\r\n\r\n") and again in block
+    assert two["WARC-Type"] == "revisit" and two["WARC-Profile"] == warc.PROFILE and two["WARC-Refers-To"] == one["WARC-Record-ID"] and two["WARC-Refers-To-Date"] == one["WARC-Date"]
+    assert two["WARC-Target-URI"] == "http://b.example/?a=%20b" and one["WARC-Target-URI"] == two["WARC-Refers-To-Target-URI"] == "http://a.example/%0A"
 
 
 def test_archives_round_trip(spark):
