@@ -15,6 +15,7 @@ from array import array
 from collections.abc import Iterator
 from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -162,12 +163,12 @@ def decode_stream(pieces: Iterator[bytes]) -> Iterator[str]:
         yield text
 
 
-def encode(df: DataFrame, rank_path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = True, with_offsets: bool = False) -> DataFrame:
+def encode(df: DataFrame, rank_path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = True, with_offsets: bool = False, with_decoded: bool | None = None) -> DataFrame:
     """Encode and decode the text of every row.
 
     Returns the ``keep`` columns, ``n_tokens`` long, ``ids_sha256`` and
-    ``decoded_sha256``; with ``with_ids`` also ``ids array<int>`` and
-    ``decoded`` string, with ``with_offsets`` ``token_starts`` and
+    ``decoded_sha256``; with ``with_ids`` also ``ids array<int>``, with
+    ``with_decoded`` (as ``with_ids`` if not given) ``decoded`` string, with ``with_offsets`` ``token_starts`` and
     ``token_ends`` in code points.
 
     Null and empty texts have no ids; texts of any length are encoded whole;
@@ -178,7 +179,8 @@ def encode(df: DataFrame, rank_path: str, pattern: str, text: str = "text", keep
         shared = df.sparkSession.sparkContext.broadcast(f.read())
     inner = df.select(*[F.col(c) for c in keep], F.coalesce(F.col(text), F.lit("")).alias("_text"))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema.fields[:-1]] + ["n_tokens long", "ids_sha256 string", "decoded_sha256 string"])
-    schema += ", ids array<int>, decoded string" * with_ids + ", token_starts array<int>, token_ends array<int>" * with_offsets
+    with_decoded = with_ids if with_decoded is None else with_decoded
+    schema += ", ids array<int>" * with_ids + ", decoded string" * with_decoded + ", token_starts array<int>, token_ends array<int>" * with_offsets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(shared.value, pattern)
@@ -189,8 +191,12 @@ def encode(df: DataFrame, rank_path: str, pattern: str, text: str = "text", keep
             columns += [pa.array([len(p) // 4 for p in packed], pa.int64()), pa.array([hashlib.sha256(p).hexdigest() for p in packed]), pa.array([hashlib.sha256(r).hexdigest() for r in raw])]
             names = [*batch.schema.names[:-1], "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
-                columns += [pa.array([list(memoryview(p).cast("i")) for p in packed], pa.list_(pa.int32())), pa.array([r.decode("utf-8", "replace") for r in raw])]
-                names += ["ids", "decoded"]
+                ends = np.cumsum([0, *[len(p) // 4 for p in packed]], dtype=np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), "<i4"))))
+                names.append("ids")
+            if with_decoded:
+                columns.append(pa.array([r.decode("utf-8", "replace") for r in raw], pa.string()))
+                names.append("decoded")
             if with_offsets:
                 spans = [bpe.offsets(p) for p in packed]
                 columns += [pa.array([s[i] for s in spans], pa.list_(pa.int32())) for i in (0, 1)]

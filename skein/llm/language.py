@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,8 @@ from skein.plans.ship import map_batches
 BUCKETS = 1 << 15
 #: Labelled rows of each language that the model is trained on, at most.
 TRAIN_ROWS = 600
+#: Languages that a model knows at most: the most frequent labels; others are taken for dirt and not learnt.
+LANGUAGES = 64
 #: Trigrams beyond which a longer text makes no stronger evidence: neighbouring trigrams are not independent.
 FULL_WEIGHT = 120
 #: How much likelier a source's declaration is to be right than each other language, and the same for an address.
@@ -71,18 +74,35 @@ class TextModel:
         codes = _codes(data)
         if not len(codes):
             return None
-        return self.logs[:, codes].mean(axis=1) * min(len(codes), FULL_WEIGHT)
+        return self.logs[:, codes].mean(axis=1, dtype=float) * min(len(codes), FULL_WEIGHT)
+
+
+def _fold(text: str, folds: int) -> Column:
+    """A text's fold; equal texts share one."""
+    return F.pmod(F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.lit(1)), F.lit(folds))
 
 
 def train(labelled: DataFrame, label: str = "lang", text: str = "text", rows: int = TRAIN_ROWS) -> TextModel:
-    """Count trigrams of a bounded sample: of each language the ``rows`` texts whose hash is smallest.
+    """Count trigrams of a bounded sample: of each of the LANGUAGES most frequent labels the ``rows`` texts whose hash is smallest.
 
     Null labels and texts are left out.  What goes to the driver is one fixed-size
-    row of counts for each language.
+    row of counts for each language and task.
+    """
+    return train_folds(labelled, label, text, rows, 1)[0]
+
+
+def train_folds(labelled: DataFrame, label: str = "lang", text: str = "text", rows: int = TRAIN_ROWS, folds: int = 2) -> list[TextModel]:
+    """A model for each fold of the texts, trained as by ``train`` on what is not in that fold (on all, for one fold).
+
+    So no text is judged by a model that has seen its own label.
     """
     usable = labelled.where(F.col(label).isNotNull() & (F.length(text) > 0)).select(F.col(label).alias("label"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
     # A threshold on the hash rather than a sort of texts: counts tell what share of a language is needed.
-    sizes = {r["label"]: r["count"] for r in usable.groupBy("label").count().collect()}
+    sizes = {r["label"]: r["count"] for r in usable.groupBy("label").count().orderBy(F.desc("count"), "label").limit(LANGUAGES).collect()}
+    return [_train(usable if folds == 1 else usable.where(_fold("text", folds) != k), sizes, rows) for k in range(folds)]
+
+
+def _train(usable: DataFrame, sizes: dict[str, int], rows: int) -> TextModel:
     bar = F.lit(None).cast("double")
     for name, n in sizes.items():
         bar = F.when(F.col("label") == name, min(1.0, rows / n)).otherwise(bar)
@@ -98,8 +118,8 @@ def train(labelled: DataFrame, label: str = "lang", text: str = "text", rows: in
     total: dict[str, np.ndarray] = {}
     for r in chosen.select("label", F.col("text").cast("binary").alias("b")).coalesce(32).transform(map_batches, run, "label string, counts binary").toLocalIterator():
         total[r["label"]] = total.get(r["label"], 0) + np.frombuffer(r["counts"], "<i8")
-    names = tuple(sorted(total))
-    counts = np.array([total[n] for n in names], float).reshape(len(names), BUCKETS) + 0.2
+    names = tuple(sorted(sizes))
+    counts = np.array([total.get(n, np.zeros(BUCKETS)) for n in names], float).reshape(len(names), BUCKETS) + 0.2
     return TextModel(names, np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32))
 
 
@@ -196,7 +216,16 @@ def identify_pages(pages: DataFrame, model: TextModel, page_id: str = "page_id",
     return fuse(text_evidence(marked, model, "html", keep, markup=True), model.languages, ["page_id"])
 
 
-def identify_documents(docs: DataFrame, model: TextModel, keep: list[str], text: str = "text", declared: str = "lang", source: str = "source") -> DataFrame:
-    """``keep``, ``language``, ``posterior``, ``accepted`` of every document; its source stands for host and domain."""
+def identify_documents(docs: DataFrame, model: TextModel | list[TextModel], keep: list[str], text: str = "text", declared: str = "lang", source: str = "source") -> DataFrame:
+    """``keep``, ``language``, ``posterior``, ``accepted`` of every document; its source stands for host and domain.
+
+    Of several models, those of ``train_folds``, each judges its own fold.  Texts
+    of any length are read whole; null and letterless ones are not accepted;
+    repeated rows count each; ties go to the language that is first by name; an
+    empty table gives no rows; other columns are not read.
+    """
+    models = model if isinstance(model, list) else [model]
     marked = docs.select(*[F.col(c) for c in keep], F.col(text).alias("_text"), F.col(declared).alias("declared"), F.lit(None).cast("string").alias("address"), F.col(source).alias("host"), F.col(source).alias("domain"))
-    return fuse(text_evidence(marked, model, "_text", [*keep, "declared", "address", "host", "domain"]), model.languages, keep)
+    columns = [*keep, "declared", "address", "host", "domain"]
+    evidence = [text_evidence(marked if len(models) == 1 else marked.where(_fold("_text", len(models)) == k), m, "_text", columns) for k, m in enumerate(models)]
+    return fuse(reduce(DataFrame.unionByName, evidence), models[0].languages, keep)

@@ -361,6 +361,90 @@ def test_evidence_for_pages(spark, model):
     assert language.identify_pages(pages(spark), model).count() == 0
 
 
+def plain_posteriors(documents, judged):
+    """Posteriors by the formulas, one number at a time; documents are (text, label), what is judged (text, declared, address, host)."""
+    from math import exp, log
+
+    def codes(text):
+        folded, last = [], None
+        for b in (text or "").encode():
+            c = b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x61 <= b <= 0x7A else 0x20
+            if c != 0x20 or last != 0x20:
+                folded.append(c)
+            last = c
+        if len(folded) < 3 or set(folded) == {0x20}:
+            return []
+        return [((x * 961 + y * 31 + z) * 2654435761 >> 7) % 32768 for x, y, z in zip(folded, folded[1:], folded[2:], strict=False)]
+
+    names = sorted({label for _, label in documents if label})
+    counts = {n: {} for n in names}
+    for text, label in documents:
+        for c in codes(text) if label else ():
+            counts[label][c] = counts[label].get(c, 0) + 1
+    total = {n: sum(counts[n].values()) + 0.2 * 32768 for n in names}
+    logs = []
+    for text, declared, address, _ in judged:
+        own = codes(text)
+        like = {n: (sum(log((counts[n].get(c, 0) + 0.2) / total[n]) for c in own) / len(own) * min(len(own), 120) if own else 0.0) for n in names}
+        logs.append((bool(own), {n: like[n] + (log(20.0) if declared == n else 0.0) + (log(10.0) if address == n else 0.0) for n in names}))
+
+    def normal(x):
+        top = max(x.values())
+        weights = {n: exp(v - top) for n, v in x.items()}
+        return {n: w / sum(weights.values()) for n, w in weights.items()}
+
+    hosts, domains, whole = {}, {}, dict.fromkeys(names, 1.0)
+    for (own, x), (_, _, _, host) in zip(logs, judged, strict=True):
+        for n, p in normal(x).items() if own else ():
+            for table, key in ((hosts, host), (domains, ".".join(host.split(".")[-2:]))):
+                table.setdefault(key, dict.fromkeys(names, 0.0))[n] += p
+            whole[n] += p
+    out = []
+    for (own, x), (_, _, _, host) in zip(logs, judged, strict=True):
+        prior = {n: whole[n] / sum(whole.values()) for n in names}
+        if host in hosts:
+            for table, key, weight in ((domains, ".".join(host.split(".")[-2:]), 50.0), (hosts, host, 20.0)):
+                prior = {n: (table[key][n] + weight * prior[n]) / (sum(table[key].values()) + weight) for n in names}
+        post = normal({n: x[n] + log(prior[n]) for n in names})
+        best = max(names, key=lambda n: post[n])
+        out.append((best, post[best], own and post[best] >= 0.6))
+    return out
+
+
+def test_posteriors_equal_brute_force(spark):
+    rnd = random.Random(12)
+    words = {"en": "the of and that with tion".split(), "de": "der die und nicht schen ein".split(), "fr": "le la des une et ê".split()}
+    say = lambda k, n: " ".join(rnd.choice(words[k]) for _ in range(n))
+    labels = [*words, *words, None]
+    documents = [(say(k or "en", rnd.randint(1, 30)), k) for k in (rnd.choice(labels) for _ in range(60))] + [(None, "en"), ("", "fr")]
+    model = language.train(spark.createDataFrame(documents, "text string, lang string"))
+    judged, rows = [], []
+    for i in range(120):
+        k = rnd.choice(list(words))
+        text = rnd.choice([say(k, rnd.randint(1, 4)), say(k, 40), say(k, 3) + " " + say("en", 3), "", "12 34", None, say(k, 9) * 300])
+        declared, address, host = rnd.choice([None, k, "de", "xx"]), rnd.choice([None, None, k, "fr"]), rnd.choice(["a.x.org", "b.x.org", "c.y.org"])
+        judged.append((f" {text or str()} ", declared, address, host))  # a tag is a space
+        rows.append((i, f"http://{host}/{address + '/' if address else ''}p{i}", None if text is None and declared is None else f"<html{f' lang={declared}' if declared else ''}><p>{text or ''}</p></html>"))
+    found = {r["page_id"]: r for r in language.identify_pages(pages(spark, *rows), model).collect()}
+    for i, (name, posterior, accepted) in enumerate(plain_posteriors(documents, judged)):
+        assert abs(found[i]["posterior"] - posterior) < 1e-4, i
+        assert (found[i]["language"], found[i]["accepted"]) == (name, accepted) or posterior < 0.5 + 1e-4 or abs(posterior - 0.6) < 1e-4
+
+
+def test_no_text_is_judged_by_its_own_label(spark):
+    """A label that only one text has counts for nothing but a declaration; dirty labels beyond the bound are not learnt."""
+    rows = [(i, f"the and of with that {'tion' * (i % 5)} x{i}", "en", "s") for i in range(40)] + [(100 + i, f"der und nicht die schen {i}", "de", "s") for i in range(40)]
+    rows += [(900, "the and of with that quite alone", "de", "s"), (901, None, "de", "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    models = language.train_folds(df)
+    assert [m.languages for m in models] == [("de", "en")] * 2
+    blind = language.identify_documents(df.withColumn("lang", F.lit(None).cast("string")), models, ["doc_id"])
+    found = {r["doc_id"]: (r["language"], r["accepted"]) for r in blind.collect()}
+    assert len(found) == len(rows) and found[900] == ("en", True) and not found[901][1]
+    many = spark.createDataFrame([(f"text {i}", f"l{i:03}") for i in range(100)] + [("more text", "l099")] * 2, "text string, lang string")
+    assert len(language.train(many).languages) == language.LANGUAGES and "l099" in language.train(many).languages
+
+
 def test_host_priors_are_smoothed(spark, model):
     evidence = [(i, [0.0] * 4, None, None, "h", "d") for i in range(3)]
     clear = [(10 + i, [50.0 if x == "es" else 0.0 for x in model.languages], None, None, "h", "d") for i in range(200)]
