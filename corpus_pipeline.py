@@ -12,10 +12,14 @@ from skein.plans.scratch import materialize
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is clear; those without letters or with a vague posterior go."""
-    model = language.train(docs)
+    """Documents whose language is clear; those without letters or with a vague posterior go.
+
+    The column ``lang`` is what the source declares, and the labels to learn from;
+    each half of the texts is judged by a model that learnt from the other half.
+    """
+    models = language.train_folds(docs)
     keyed = docs.withColumn("gone_key", text_key())
-    judged = language.identify_documents(keyed, model, ["doc_id", "gone_key"])
+    judged = language.identify_documents(keyed, models, ["doc_id", "gone_key"])
     gone = judged.where(~F.col("accepted")).select(F.col("doc_id").alias("gone_id"), "gone_key")
     return without(docs, gone)
 
@@ -41,7 +45,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each document, and digests of ids and decoded bytes."""
-    return bpe.encode(docs, RANKS, PATTERN, keep=("doc_id", "lang", "source"), with_ids=False)
+    return bpe.encode(docs, RANKS, PATTERN, keep=("doc_id", "lang", "source"), with_decoded=False)
 
 
 STAGES = [
