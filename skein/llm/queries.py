@@ -44,8 +44,8 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that occurrences of benchmark windows hit."""
-    found = decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+    found = decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), proximity=decontam.PROXIMITY)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated", F.array_join("near", ",").alias("near_items"))
 
 
 def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,11 +89,23 @@ places as (select doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) as i
 hits as (select doc_id, item, i, places.n from places join windows
   on windows.n = places.n and windows.body = array_to_string(w[i:i + places.n - 1], ' ')),
 hit_words as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(generate_series(i, i + n - 1)) as p from hits) group by doc_id),
-hit_items as (select doc_id, list_sort(list(distinct item)) as items from hits group by doc_id)
+hit_items as (select doc_id, list_sort(list(distinct item)) as items from hits group by doc_id),
+tokens as (select doc_id, unnest(w) as term, unnest(generate_series(1, len(w))) as pos from docs),
+frequencies as (select term, count(distinct doc_id) as n from tokens group by term),
+terms as (select body, unnest(list_distinct(string_split(body, ' '))) as term from (select distinct body from windows)),
+ranked as (select body, terms.term, row_number() over (partition by body order by f.n, terms.term) as k, count(f.n) over (partition by body) = count(*) over (partition by body) as whole
+  from terms left join frequencies f on terms.term = f.term),
+rarest as (select body, max(term) filter (where k = 1) as t1, max(term) filter (where k = 2) as t2, max(term) filter (where k = 3) as t3 from ranked where whole group by body),
+close as (select distinct r.t1, r.t2, r.t3, a.doc_id from (select distinct t1, t2, t3 from rarest) r join tokens a on a.term = r.t1
+  left join tokens b on b.term = r.t2 and b.doc_id = a.doc_id left join tokens c on c.term = r.t3 and c.doc_id = a.doc_id
+  where (r.t2 is null or b.pos is not null) and (r.t3 is null or c.pos is not null)
+    and greatest(a.pos, coalesce(b.pos, a.pos), coalesce(c.pos, a.pos)) - least(a.pos, coalesce(b.pos, a.pos), coalesce(c.pos, a.pos)) + 1 <= {decontam.PROXIMITY}),
+near as (select doc_id, array_to_string(list_sort(list(distinct item)), ',') as near_items from close join rarest
+  on close.t1 = rarest.t1 and close.t2 is not distinct from rarest.t2 and close.t3 is not distinct from rarest.t3 join windows on windows.body = rarest.body group by doc_id)
 select docs.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit,
   cast(coalesce(len(items), 0) as bigint) as n_items, sha256(coalesce(array_to_string(items, ','), '')) as items_sha256,
-  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
-from docs left join hit_words on docs.doc_id = hit_words.doc_id left join hit_items on docs.doc_id = hit_items.doc_id"""
+  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated, coalesce(near_items, '') as near_items
+from docs left join near on docs.doc_id = near.doc_id left join hit_words on docs.doc_id = hit_words.doc_id left join hit_items on docs.doc_id = hit_items.doc_id"""
 
 
 def _licences_sql() -> str:

@@ -186,11 +186,61 @@ def test_contamination_without_items_or_documents(spark):
     assert decontam.contamination(docs(spark), bench).count() == 0
 
 
-def test_proximity():
-    w = decontam.Windows([("7", b"alpha beta gamma delta epsilon")], 5)
-    w.ordered_by({b"alpha": 1, b"gamma": 2, b"epsilon": 3, b"beta": 9, b"delta": 9})
-    assert w.nearest(*w.postings(b"epsilon x gamma y alpha".split()), 0) == 5
-    assert w.search(*w.postings(b"epsilon x gamma y alpha".split())) == ([], [])
+def plain_near(rows, items, width, proximity):
+    """Items with a window whose three rarest different terms stand within ``proximity`` words, by all places."""
+    import itertools
+
+    words = lambda t: [w.decode() for w in decontam.words_of((t or "").encode())]
+    texts = {i: words(t) for i, t in rows}
+    count = {}
+    for w in texts.values():
+        for t in set(w):
+            count[t] = count.get(t, 0) + 1
+    out = {}
+    for i, w in texts.items():
+        near = set()
+        for item, body in items:
+            v = words(body)
+            n = min(width, len(v))
+            for k in range(len(v) - n + 1 if v else 0):
+                window = v[k : k + n]
+                if all(t in count for t in window):
+                    rare = sorted(set(window), key=lambda t: (count[t], t))[:3]
+                    places = [[p for p, x in enumerate(w) if x == t] for t in rare]
+                    if all(places) and any(max(c) - min(c) + 1 <= proximity for c in itertools.product(*places)):
+                        near.add(str(item))
+        out[i] = sorted(near)
+    return out
+
+
+def test_proximity(spark):
+    rnd = random.Random(16)
+    vocabulary = [f"w{i}" for i in range(14)]
+    say = lambda n: " ".join(rnd.choice(vocabulary) for _ in range(n))
+    items = [(i, say(rnd.choice([1, 2, 3, 5, 8, 9]))) for i in range(12)]
+    rows = [(i, say(rnd.randrange(25))) for i in range(30)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = decontam.contamination(docs(spark, *rows), bench, width=5, proximity=6).collect()
+    assert {r["doc_id"]: list(r["near"]) for r in found} == plain_near(rows, items, 5, 6)
+    # Items that occur exactly are near, too.
+    found = decontam.contamination(docs(spark, (1, "epsilon x gamma y alpha"), (2, "alpha beta gamma delta epsilon"), (3, "beta delta"), (4, "delta beta")), spark.createDataFrame([(7, "alpha beta gamma delta epsilon")], "item_id long, text string"), proximity=5)
+    assert {r["doc_id"]: (list(r["near"]), list(r["items"])) for r in found.collect()} == {1: (["7"], []), 2: (["7"], ["7"]), 3: ([], []), 4: ([], [])}
+
+
+def test_large_items_and_repeated_rows(spark):
+    """Items of some megabytes in one row, common words alone, and rows that repeat."""
+    rnd = random.Random(2)
+    long = " ".join(f"t{rnd.randrange(200_000)}" for _ in range(300_000))
+    words = long.split()
+    items = spark.createDataFrame([(1, long), (2, "the"), (2, "the"), (3, None), (None, "of the")], "item_id long, text string")
+    text = "so " + " ".join(words[1000:1020]) + " said the one"
+    rows = [(1, text)] * 40 + [(2, "the " * 5000), (3, "of the of the"), (4, long), (None, text), (1, "another text of the same id")]
+    found = {}
+    for r in decontam.contamination(docs(spark, *rows), items).collect():
+        found.setdefault((r["doc_id"], r["n_words"]), []).append((r["n_hit"], list(r["items"]), r["contaminated"]))
+    assert found[1, 24] == [(21, ["1", "2"], True)] * 40 and found[None, 24] == [(21, ["1", "2"], True)]
+    assert found[2, 5000] == [(5000, ["2"], True)] and found[3, 4] == [(4, ["", "2"], True)] and found[4, 300_000] == [(300_000, ["1"], True)]
+    assert found[1, 6] == [(2, ["", "2"], True)]
 
 
 def removed(spark, *rows, **kw):
