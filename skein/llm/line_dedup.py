@@ -295,7 +295,9 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dro
     # Line numbers have no bound, so they are never broadcast; the key is a document, so nothing is hot.
     joined = keyed.join(gone.hint("shuffle_hash"), ["_line_id", "_line_key"], "left")
     lost = F.col("_line_gone")
-    left = F.array_join(F.filter(F.split(text, "\n"), lambda line, i: ~F.array_contains(lost, i)), "\n")
+    # Numbers are taken from each other by hash, and the lines split once, so a text's length counts once.
+    stay = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), lost)
+    left = F.array_join(F.transform(F.array(F.split(text, "\n")), lambda lines: F.transform(stay(lines), lambda i: F.get(lines, i)))[0], "\n")
     new = F.when(lost.isNull(), F.col(text)).when(~left.rlike(r"\S"), F.lit("")).otherwise(left)
     out = joined.select(*[new.alias(c) if c == text else F.col(c) for c in columns], F.coalesce(F.size(lost), F.lit(0)).alias("n_lines_removed"))
     return out.where((F.col("n_lines_removed") == 0) | (F.col(text) != "")) if drop_emptied else out
