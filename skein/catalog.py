@@ -16,6 +16,7 @@ from skein.operators import betweenness, bfs, components, pagerank, partitions,
 from skein.plans.scratch import materialize, new_path
 from skein.projections import edges_of, graph_sql, load
 from skein.sources import text
+from skein.sources.registry import read_registry
 from skein.sources.store import GraphStore
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -393,9 +394,9 @@ def connected_components(g):
     return _components(g)
 
 
-@_graph("custpart45", _COMPONENTS + " select id, component from comp", directed=False)
+@_graph("partsupp", _COMPONENTS + " select id, component from comp", directed=False)
 def connected_components_large(g):
-    """One component holds nearly all nodes."""
+    """All order lines: one component."""
     return _components(g)
 
 
@@ -447,9 +448,9 @@ def triangle_counts_dense(g):
     return triangles.triangle_counts(g)
 
 
-@_graph("linechain", _PAIRS + "select count(*) * 6 as trust, count(*) * 2 as cycle from u a join u b on a.y = b.x join u c on c.x = a.x and c.y = b.y", directed=False)
+@_graph("linechain", _PAIRS + "select count(*) * 6 as trust, count(*) * 2 as cycle, count(*) as triangles from u a join u b on a.y = b.x join u c on c.x = a.x and c.y = b.y", directed=False)
 def triangle_counts_undirected(g):
-    return triangles.triangle_counts(g).select("trust", "cycle")
+    return triangles.triangle_counts(g)
 
 
 @_graph("handoff", "select a.dst as id from edges a join edges b on a.dst = b.dst where a.src = (select min(id) from nodes) and b.src = (select max(id) from nodes)")
@@ -552,7 +553,7 @@ def edge_count(g):
     return g.edges.agg(F.count("*").alias("n"))
 
 
-@_graph("custpart45", "select id from nodes")
+@_graph("custpart", "select id from nodes")
 def distinct_nodes(g):
     return g.nodes
 
@@ -570,22 +571,22 @@ def symmetric_edges(g):
 _DENSE = ", ids as (select id as old_id, cast(row_number() over (order by id) - 1 as bigint) as new_id from nodes)"
 
 
-@_graph("custpart45", _DENSE + " select old_id, new_id from ids")
+@_graph("custpart", _DENSE + " select old_id, new_id from ids")
 def dense_id_map(g):
     return etl.id_map(g.nodes)
 
 
-@_graph("custpart45", _DENSE + " select a.new_id as src, b.new_id as dst, weight from edges join ids a on src = a.old_id join ids b on dst = b.old_id")
+@_graph("custpart", _DENSE + " select a.new_id as src, b.new_id as dst, weight from edges join ids a on src = a.old_id join ids b on dst = b.old_id")
 def dense_renumber(g):
     return etl.dense_renumber(g)[0].edges
 
 
-@_graph("custpart45", _DENSE + " select count(*) as n, min(new_id) as lowest, max(new_id) as highest, true as dense from ids")
+@_graph("custpart", _DENSE + " select count(*) as n, min(new_id) as lowest, max(new_id) as highest, true as dense from ids")
 def density_check(g):
     return etl.density(etl.dense_renumber(g)[0].nodes)
 
 
-@_graph("custpart45", "select count(*) as n, min(id) as lowest, max(id) as highest, min(id) = 0 and max(id) = count(*) - 1 as dense from nodes")
+@_graph("custpart", "select count(*) as n, min(id) as lowest, max(id) as highest, min(id) = 0 and max(id) = count(*) - 1 as dense from nodes")
 def density_check_sparse(g):
     return etl.density(g.nodes)
 
@@ -704,22 +705,94 @@ def _scan_both(g: Graph) -> DataFrame:
     return both.agg(F.sum("edge").alias("by_edges"), F.sum("members").alias("by_lists"))
 
 
-@_plain("rmat_graph")
+def _histogram_sql(ends: tuple[str, str], rows: int) -> str:
+    return f"""with e as (select distinct src, dst from (select {ends[0]} as src, {ends[1]} as dst from (select unnest(range({rows})) as id)) t where src <> dst),
+nodes as (select src as id from e union select dst from e),
+degrees as (select id, count(src) as degree from nodes left join e on src = id group by id)
+select degree as out_degree, count(*) as n from degrees group by degree"""
+
+
+@_plain("rmat_graph", _histogram_sql(generators.rmat_sql(12), 8 << 12))
 def rmat_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Out-degree histogram of a Kronecker-like graph of 2^12 ids."""
     return scans.degree_histogram(Graph.from_edges(generators.rmat(spark, 12, 8)))
 
 
-@_plain("uniform_graph")
+@_plain("uniform_graph", _histogram_sql(generators.uniform_sql(12), 8 << 12))
 def uniform_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Out-degree histogram of a uniform graph of 2^12 ids."""
     return scans.degree_histogram(Graph.from_edges(generators.uniform(spark, 12, 8)))
 
 
-@_plain("ingest_pipeline", f"with {graph_sql('custpart45')} {_DENSE} select a.new_id as src, b.new_id as dst, 0 as weight from edges join ids a on src = a.old_id join ids b on dst = b.old_id")
+@_graph("linechain", f"select src, dst, weight from edges where dst = {NODE}")
+def store_drop_index(g):
+    """Reads by destination are the same with, without and with a new index."""
+    store = _store(g, Layout.SPLIT_EDGE_KEY)
+    store.drop_indices()
+    return store.edges_by_dst().where(F.col("dst") == NODE)
+
+
+@_graph("linechain", "select true as directed, true as weighted, false as read_optimize, 'adjacency' as layout")
+def store_restore_options(g):
+    """The options that a store's metadata gives back."""
+    o = _store(g, Layout.ADJACENCY).restore_options()
+    return g.spark.createDataFrame([(o.directed, o.weighted, o.read_optimize, o.layout.name.lower())], "directed boolean, weighted boolean, read_optimize boolean, layout string")
+
+
+@_graph("linechain", "select id from nodes union select -5 union select -6 union select -7")
+def add_nodes_with_lists(g):
+    """Nodes after one has been added together with its neighbours."""
+    lists = g.spark.createDataFrame([(-5, [-6, 17], [-7]), (-6, [], [-5])], "node_id long, out array<long>, in array<long>")
+    return updates.add_nodes_with_lists(g, lists).nodes
+
+
+@_graph("linechain", "select src, dst, weight from edges union all select -1, -2, 3 union all select -2, -3, 4")
+def store_append(g):
+    """Edges known to be new, added without a look at what is there."""
+    store = _store(g)
+    etl.append(store, g.spark.createDataFrame([(-1, -2, 3), (-2, -3, 4)], "src long, dst long, weight int"))
+    return store.graph().edges
+
+
+@_graph("linechain", "select true as same, 1 as kept, 2 as appended")
+def append_and_upsert(g):
+    """A plain append gives what an upsert of the same new edges does; an upsert alone leaves out what is there."""
+    new = g.spark.createDataFrame([(-1, -2, 3), (-2, -3, 4)], "src long, dst long, weight int")
+    one, other = _store(g), _store(g)
+    etl.append(one, new)
+    etl.upsert(other, new)
+    a, b = one.graph().edges, other.graph().edges
+    same = a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+    etl.upsert(other, new)
+    etl.append(one, new)
+    twice = lambda s: s.graph().edges.where("src = -1").count()
+    return g.spark.createDataFrame([(same, twice(other), twice(one))], "same boolean, kept int, appended int")
+
+
+@_graph("linechain", "select src % 5 as trial, count(*) as n, cast(sum(weight) as bigint) as total from edges group by 1")
+def run_log_append(g):
+    """A run log as it reads back after five appends."""
+    path = new_path(g.spark, "log")
+    for r in sorted(g.edges.groupBy((F.col("src") % 5).alias("trial")).agg(F.count("*").alias("n"), F.sum("weight").alias("total")).collect()):
+        text.append_run_log(g.spark, path, trial=r["trial"], n=r["n"], total=r["total"])
+    return g.spark.read.option("header", True).schema("trial long, n long, total long").csv(path)
+
+
+@_graph("linechain", "select 'chain' as name, (select count(*) from nodes) as nodes, (select count(*) from edges) as edges, true as directed")
+def registry(g):
+    """A dataset as the registry lists it, its file being there."""
+    files, listed = new_path(g.spark, "files"), new_path(g.spark, "registry")
+    text.write_lines(g.edges.select(F.concat_ws(" ", "src", "dst").alias("value")), files)
+    row = [("chain", files, g.nodes.count(), g.edges.count(), True)]
+    g.spark.createDataFrame(row, "dataset_name string, graph_path string, num_nodes long, num_edges long, directed boolean").coalesce(1).write.json(listed)
+    d = read_registry(g.spark, listed, check_files=True)["chain"]
+    return g.spark.createDataFrame([(d.dataset_name, d.num_nodes, d.num_edges, d.directed)], "name string, nodes long, edges long, directed boolean")
+
+
+@_plain("ingest_pipeline", f"with {graph_sql('custpart')} {_DENSE} select a.new_id as src, b.new_id as dst, 0 as weight from edges join ids a on src = a.old_id join ids b on dst = b.old_id")
 def ingest_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edge list file to stored graph over dense ids."""
-    edges = edges_of(spark, sf_dir, "custpart45")
+    edges = edges_of(spark, sf_dir, "custpart")
     path = new_path(spark, "raw")
     text.write_lines(edges.select(F.concat_ws(" ", "src", "dst").alias("value")), path)
     return etl.ingest(spark, path, new_path(spark, "stored"), GraphOptions(name="custpart"), dense=True, index=True).graph().edges

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from skein.model import Graph
 from skein.plans.loops import State, dealt_by
-from skein.plans.scratch import materialize
+from skein.plans.scratch import delete_path, materialize, write_table
+
+#: Levels whose reached nodes are tables of their own before they are merged into one.
+MERGE_LEVELS = 16
 
 
 def betweenness(g: Graph, sources: DataFrame | None = None, normalise: bool = True, max_levels: int = 1_000_000) -> DataFrame:
@@ -29,14 +32,23 @@ def betweenness(g: Graph, sources: DataFrame | None = None, normalise: bool = Tr
 
 
 def _accumulate(g: Graph, start: DataFrame, edges: DataFrame, max_levels: int) -> DataFrame:
-    levels = [materialize(start.select(F.col("id").alias("s"), "id", F.lit(1.0).alias("paths")), "level")]
+    first, path = write_table(start.select(F.col("id").alias("s"), "id", F.lit(1.0).alias("paths")), "level")
+    levels, paths, seen = [first], [path], [first.select("s", "id")]
+    merged = None
     for _ in range(max_levels):
         ahead = levels[-1].join(edges, F.col("id") == F.col("src")).groupBy("s", F.col("dst").alias("id")).agg(F.sum("paths").alias("paths"))
-        seen = reduce(DataFrame.union, levels).select("s", "id")
-        level = materialize(ahead.join(seen, ["s", "id"], "left_anti"), "level")
+        level, path = write_table(ahead.join(reduce(DataFrame.union, seen), ["s", "id"], "left_anti"), "level")
+        paths.append(path)
         if level.isEmpty():
             break
         levels.append(level)
+        seen.append(level.select("s", "id"))
+        if len(seen) >= MERGE_LEVELS:  # so that long paths don't make long plans
+            whole, path = write_table(reduce(DataFrame.union, seen), "seen")
+            if merged:
+                delete_path(g.spark, merged)
+            seen, merged = [whole], path
+    paths += [merged] if merged else []
     # Backwards: what a node passes on to its parents is its share of paths.
     none = levels[0].limit(0).select("s", "id", F.lit(0.0).alias("dependency"))
     total = State(none.select("id", "dependency"), "dependencies")
@@ -45,7 +57,11 @@ def _accumulate(g: Graph, start: DataFrame, edges: DataFrame, max_levels: int) -
         child = levels[depth].join(below, ["s", "id"], "left").select("s", "id", ((1 + F.coalesce("dependency", F.lit(0.0))) / F.col("paths")).alias("share"))
         parent = levels[depth - 1].select("s", F.col("id").alias("src"), "paths")
         passed = child.join(edges, F.col("id") == F.col("dst")).join(parent, ["s", "src"]).groupBy("s", F.col("src").alias("id")).agg(F.sum(F.col("paths") * F.col("share")).alias("dependency"))
-        below = materialize(passed, "below")
+        below, path = write_table(passed, "below")
+        paths.append(path)
         if depth > 1:  # a source is no inner node of its own paths
             total.set(total.df.union(below.select("id", "dependency")).groupBy("id").agg(F.sum("dependency").alias("dependency")))
-    return materialize(g.nodes.join(total.df, "id", "left").select("id", F.coalesce("dependency", F.lit(0.0)).alias("score")), "scores")
+    scores = materialize(g.nodes.join(total.df, "id", "left").select("id", F.coalesce("dependency", F.lit(0.0)).alias("score")), "scores")
+    for spent in paths:
+        delete_path(g.spark, spent)
+    return scores

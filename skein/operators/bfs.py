@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from skein.model import Graph, GraphError
 from skein.operators.reads import get_random_node_ids, has_node
 from skein.plans.loops import State, dealt_by
-from skein.plans.scratch import materialize
+from skein.plans.scratch import delete_path, write_table
 
 #: Levels that are kept as tables of their own before they are merged into one.
 MERGE_LEVELS = 16
@@ -27,18 +27,24 @@ def bfs(g: Graph, source: int, max_levels: int = 1_000_000) -> DataFrame:
     if not has_node(g, source):
         raise GraphError(f"no node {source}")
     start = g.nodes.where(F.col("id") == source).select("id", F.col("id").alias("parent"), F.lit(0).alias("depth"))
-    levels = [materialize(start, "level")]
-    frontier = levels[0]
+    frontier, path = write_table(start, "level")
+    levels, paths = [frontier], [path]
     with dealt_by(g.edges.select("src", "dst"), "src") as edges:
         for depth in range(1, max_levels + 1):
             reached = edges.join(frontier.select(F.col("id").alias("src")), "src").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
             visited = reduce(DataFrame.union, levels).select("id")
-            frontier = materialize(reached.join(visited, "id", "left_anti").select("id", "parent", F.lit(depth).alias("depth")), "level")
+            frontier, path = write_table(reached.join(visited, "id", "left_anti").select("id", "parent", F.lit(depth).alias("depth")), "level")
             if frontier.isEmpty():
+                delete_path(g.spark, path)
                 break
             levels.append(frontier)
-            if len(levels) >= MERGE_LEVELS:
-                levels = [materialize(reduce(DataFrame.union, levels), "levels")]
+            paths.append(path)
+            if len(levels) > MERGE_LEVELS:
+                # The frontier stays a table of its own, as the next round reads it.
+                merged, path = write_table(reduce(DataFrame.union, levels[:-1]), "levels")
+                for spent in paths[:-1]:
+                    delete_path(g.spark, spent)
+                levels, paths = [merged, frontier], [path, paths[-1]]
     return reduce(DataFrame.union, levels)
 
 

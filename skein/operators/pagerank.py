@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skein.model import Graph
 from skein.plans.loops import dealt_by
-from skein.plans.scratch import materialize
+from skein.plans.scratch import delete_path, materialize, write_table
 
 #: Rounds whose plan grows as one before it is cut by a written table.
 CUT_EVERY = 5
@@ -29,19 +29,23 @@ def pagerank(g: Graph, damping: float = 0.85, max_iter: int = 10, tolerance: flo
         return g.nodes.select("id", F.lit(0.0).alias("rank"))
     out = g.edges.groupBy("src").agg(F.count("*").alias("degree"))
     nodes = materialize(g.nodes, "nodes")
-    ranks = nodes.select("id", F.lit(1.0 / n).alias("rank"))
+    ranks, spent = nodes.select("id", F.lit(1.0 / n).alias("rank")), None
     with dealt_by(g.edges.select("src", "dst").join(out, "src"), "src") as links:
         for i in range(1, max_iter + 1):
             shares = links.join(ranks, F.col("src") == F.col("id")).groupBy("dst").agg(F.sum(F.col("rank") / F.col("degree")).alias("in"))
             new = nodes.join(shares, F.col("id") == F.col("dst"), "left").select("id", (F.lit((1 - damping) / n) + damping * F.coalesce("in", F.lit(0.0))).alias("rank"))
             if tolerance is not None or i % CUT_EVERY == 0 or i == max_iter:
-                new = materialize(new, "ranks")
+                new, path = write_table(new, "ranks")
             if tolerance is not None:
                 moved = new.join(ranks.withColumnRenamed("rank", "was"), "id").agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0]
-                ranks = new
-                if moved < tolerance:
-                    break
             ranks = new
+            # The table of the last cut is read by no plan any more.
+            if tolerance is not None or i % CUT_EVERY == 0 or i == max_iter:
+                if spent:
+                    delete_path(g.spark, spent)
+                spent = path
+            if tolerance is not None and moved < tolerance:
+                break
     return ranks
 
 

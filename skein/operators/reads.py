@@ -97,12 +97,21 @@ def get_in_nodes_id(g: Graph, node: int) -> DataFrame:
 
 def get_out_nodes(g: Graph, node: int) -> DataFrame:
     """Node records, with degrees, of the out-neighbours."""
-    return degrees(g).join(get_out_nodes_id(g, node), "id").orderBy("id")
+    return _records(g, get_out_nodes_id(g, node))
 
 
 def get_in_nodes(g: Graph, node: int) -> DataFrame:
     """Node records, with degrees, of the in-neighbours."""
-    return degrees(g).join(get_in_nodes_id(g, node), "id").orderBy("id")
+    return _records(g, get_in_nodes_id(g, node))
+
+
+def _records(g: Graph, wanted: DataFrame) -> DataFrame:
+    """Node records of the wanted ids in order; edges are cut down to theirs before they are counted."""
+    own = wanted.select("id").distinct()
+    touching = lambda end: g.edges.join(own.select(F.col("id").alias(end)), end, "left_semi").select(F.col(end).alias("id"))
+    ends = touching("dst").select("id", F.lit(1).alias("i"), F.lit(0).alias("o")).union(touching("src").select("id", F.lit(0), F.lit(1)))
+    counted = ends.groupBy("id").agg(F.sum("i").alias("i"), F.sum("o").alias("o"))
+    return own.join(counted, "id", "left").select("id", F.coalesce("i", F.lit(0)).alias("in_degree"), F.coalesce("o", F.lit(0)).alias("out_degree")).orderBy("id")
 
 
 def adjacency(g: Graph, direction: str = "out", all_nodes: bool = False) -> DataFrame:

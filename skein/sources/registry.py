@@ -29,10 +29,14 @@ class Dataset:
         return GraphOptions(name=self.dataset_name, directed=self.directed, **more)
 
 
-def read_registry(spark: SparkSession, path: str) -> dict[str, Dataset]:
-    """Datasets by name; a name that occurs twice is an error."""
+def read_registry(spark: SparkSession, path: str, check_files: bool = False) -> dict[str, Dataset]:
+    """Datasets by name; a name that occurs twice is an error, and so, with ``check_files``, is a file that isn't there."""
+    fs = lambda p: (q := spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(q)
     rows = spark.read.option("multiLine", True).schema("dataset_name string, graph_path string, num_nodes long, num_edges long, directed boolean").json(path).collect()
     out = {r["dataset_name"]: Dataset(r["dataset_name"], r["graph_path"] or "", r["num_nodes"] or 0, r["num_edges"] or 0, r["directed"] is not False) for r in rows}
     if len(out) != len(rows):
         raise GraphError("a dataset is listed twice")
+    missing = [d.graph_path for d in out.values() if not fs(d.graph_path)] if check_files else []
+    if missing:
+        raise GraphError(f"no file {missing[0]}")
     return out
