@@ -266,6 +266,8 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # A row for each line of a document, however often it stands there.
     each = read.select("id", "key", F.explode("lines").alias("l")).select("id", "key", "l.*")
     held = each.groupBy("h").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("h")
+    # Written for the same reason: a hot line's partition can be split.
+    held = materialize(held, "shared-hashes")
     lines = materialize(each.join(held, "h", "left_semi").dropDuplicates(["id", "key", "h"]), "shared-lines")
     # The shorter document of a pair brings its lines, the longer one answers for those that it has too.
     sizes = lines.groupBy("id", "key").agg(F.count("*").alias("n"))

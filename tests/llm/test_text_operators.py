@@ -282,6 +282,58 @@ def test_copies_go_whole_wherever_their_lines_began(spark):
     assert out[4] == block and out[5] == "" and out[6] == "mine alone"
 
 
+def blocks_of(lines, least=5):
+    """All runs of neighbouring lines with words enough."""
+    return {tuple(lines[i:j]) for i in range(len(lines)) for j in range(i + 1, len(lines) + 1) if sum(len(x.split()) for x in lines[i:j]) >= least}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_random_documents_keep_no_block_of_an_earlier_one(spark, seed):
+    """Brute force over all pairs: what goes stands in an earlier document, what stays holds no block of any earlier one."""
+    rnd = random.Random(seed)
+    pool = [" ".join(rnd.choice("abcdefghij") for _ in range(rnd.choice([1, 2, 3, 5, 8]))) + f" {i}" for i in range(25)]
+    common = "accept all cookies to read this page"
+    texts = {}
+    for i in range(60):
+        lines = [rnd.choice(pool) for _ in range(rnd.randint(1, 9))]
+        if i and rnd.random() < 0.4:  # a piece of an earlier document
+            other = texts[rnd.randrange(i)]
+            at = rnd.randrange(len(other))
+            lines[rnd.randrange(len(lines)) :] = other[at : at + rnd.randint(1, 6)]
+        if rnd.random() < 0.6:  # a line that most documents hold
+            lines.insert(rnd.randrange(len(lines) + 1), common)
+        texts[i] = lines
+    out = {i: t.split("\n") if t else [] for i, t in removed(spark, *((i, "\n".join(x)) for i, x in texts.items())).items()}
+    assert out[0] == texts[0] and sum(common in x for x in out.values()) == 1
+    for i, left in out.items():
+        own = texts[i]
+        earlier = set().union(*(blocks_of(texts[j]) for j in range(i)), set())
+        covered = {k for a in range(len(own)) for b in range(a + 1, len(own) + 1) if tuple(own[a:b]) in earlier for k in range(a, b)}
+        # Further lines may go only where what was between them has gone, and they stand in earlier documents too.
+        may_stay = [x for k, x in enumerate(own) if k not in covered]
+        gone = list(own)
+        for x in left:
+            may_stay.remove(x)
+            gone.remove(x)
+        assert set(gone) <= {x for j in range(i) for x in texts[j]} and (covered or left == own)
+
+
+def test_an_unrelated_document_keeps_no_block(spark):
+    # Its one line began elsewhere, and the block goes all the same.
+    rows = [(2, "aa bb\ncc dd\nee ff"), (3, "own words of the third\naa bb\ncc dd\nee ff")]
+    assert removed(spark, *rows)[3] == removed(spark, (1, "aa bb"), *rows)[3] == "own words of the third"
+
+
+def test_long_documents_and_repeated_ids(spark):
+    long = [f"line number {i} of a long document" for i in range(20_000)]
+    rows = [(1, "\n".join(long)), (2, "\n".join(["one line of its own here", *long[5000:15_000], *["same words again and again here"] * 3000])), (2, "another text under the same id\n" + long[7]), (3, "same words again and again here\n" * 5)]
+    found = {}
+    for r in line_dedup.dedup_lines(docs(spark, *rows)).collect():
+        found.setdefault(r["doc_id"], []).append((r["text"], r["n_lines_removed"]))
+    assert found[1] == [(rows[0][1], 0)] and found[3] == [("", 5)]
+    assert sorted(found[2]) == [("another text under the same id", 1), ("\n".join(["one line of its own here", *["same words again and again here"] * 3000]), 10_000)]
+
+
 def test_windows_cover_all_runs_with_words_enough():
     rnd = random.Random(5)
     for _ in range(200):
