@@ -270,7 +270,7 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     held = materialize(held, "shared-hashes")
     lines = materialize(each.join(held, "h", "left_semi").dropDuplicates(["id", "key", "h"]), "shared-lines")
     # The shorter document of a pair brings its lines, the longer one answers for those that it has too.
-    sizes = lines.groupBy("id", "key").agg(F.count("*").alias("n"))
+    sizes = materialize(lines.groupBy("id", "key").agg(F.count("*").alias("n")), "sizes")
     pairs = pairs.join(sizes, ["id", "key"]).join(sizes.toDF("first_id", "first_key", "first_n"), ["first_id", "first_key"])
     pairs = materialize(pairs.select("id", "key", "first_id", "first_key", (F.col("n") <= F.col("first_n")).alias("short")), "pairs")
     later = lines.select("id", "key", "h", "words", "own")
