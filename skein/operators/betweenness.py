@@ -1,4 +1,4 @@
-"""Betweenness centrality by Brandes' two passes, level by level for all sources at once."""
+"""Betweenness centrality by Brandes' two passes, level by level for a batch of sources at once."""
 
 from __future__ import annotations
 
@@ -9,29 +9,40 @@ from pyspark.sql import functions as F
 
 from skein.model import Graph
 from skein.plans.loops import State, dealt_by
-from skein.plans.scratch import delete_path, materialize, write_table
+from skein.plans.scratch import delete_path, write_table
 
+#: Sources whose paths are followed at once.
+BATCH = 10_000
 #: Levels whose reached nodes are tables of their own before they are merged into one.
 MERGE_LEVELS = 16
 
 
-def betweenness(g: Graph, sources: DataFrame | None = None, normalise: bool = True, max_levels: int = 1_000_000) -> DataFrame:
+def betweenness(g: Graph, sources: DataFrame | None = None, normalise: bool = True, max_levels: int = 1_000_000, batch: int = BATCH) -> DataFrame:
     """``(id, score double)`` of every node over the given sources (default: all nodes).
 
     Scores sum each source's dependencies; with ``normalise`` the largest is 1
     (all stay 0 where no path has an inner node).  State is one row for each
-    source and node it reaches, so sources are best given in bounded samples.
+    source and node it reaches; sources go in batches of about ``batch``, so that
+    it is bounded by that many times the nodes.
     """
     start = g.nodes if sources is None else g.nodes.join(sources.select(F.col(sources.columns[0]).alias("id")).distinct(), "id", "left_semi")
+    parts = max(1, -(-start.count() // batch))
+    total = State(g.nodes.select("id", F.lit(0.0).alias("score")), "scores") if parts > 1 else None
     with dealt_by(g.edges.where("src <> dst").select("src", "dst"), "src") as edges:
-        scores = _accumulate(g, start, edges, max_levels)
+        for i in range(parts):
+            own = start if total is None else start.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == i)
+            scores, path = _accumulate(g, own, edges, max_levels)
+            if total is not None:
+                scores = total.set(total.df.union(scores).groupBy("id").agg(F.sum("score").alias("score")))
+                delete_path(g.spark, path)
     if not normalise:
         return scores
     most = scores.agg(F.max("score")).first()[0] or 0.0
     return scores.select("id", (F.col("score") / (most if most > 0 else 1.0)).alias("score"))
 
 
-def _accumulate(g: Graph, start: DataFrame, edges: DataFrame, max_levels: int) -> DataFrame:
+def _accumulate(g: Graph, start: DataFrame, edges: DataFrame, max_levels: int) -> tuple[DataFrame, str]:
+    """Scores of the sources in ``start``, and the path of their table."""
     first, path = write_table(start.select(F.col("id").alias("s"), "id", F.lit(1.0).alias("paths")), "level")
     levels, paths, seen = [first], [path], [first.select("s", "id")]
     merged = None
@@ -61,7 +72,7 @@ def _accumulate(g: Graph, start: DataFrame, edges: DataFrame, max_levels: int) -
         paths.append(path)
         if depth > 1:  # a source is no inner node of its own paths
             total.set(total.df.union(below.select("id", "dependency")).groupBy("id").agg(F.sum("dependency").alias("dependency")))
-    scores = materialize(g.nodes.join(total.df, "id", "left").select("id", F.coalesce("dependency", F.lit(0.0)).alias("score")), "scores")
+    scores, kept = write_table(g.nodes.join(total.df, "id", "left").select("id", F.coalesce("dependency", F.lit(0.0)).alias("score")), "scores")
     for spent in paths:
         delete_path(g.spark, spent)
-    return scores
+    return scores, kept

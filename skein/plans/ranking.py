@@ -12,16 +12,12 @@ from skein.plans.scratch import materialize
 def with_position(df: DataFrame, keys: list[str], name: str = "position") -> DataFrame:
     """Add each row's place (from 0) in the order of ``keys``, which must be unique.
 
-    Rows are dealt into key ranges and ranked inside each; what goes to the
-    driver is one count for each range.
+    Rows are dealt into key ranges and ranked inside each; one row for each
+    range, with the rows before it, goes to a single task and back.
     """
     ranged = df.repartitionByRange(*keys).withColumn("_range", F.spark_partition_id())
     held = materialize(ranged, "ranges")
-    sizes = sorted((r["_range"], r["count"]) for r in held.groupBy("_range").count().collect())
-    before, offsets = 0, []
-    for i, n in sizes:
-        offsets.append((i, before))
-        before += n
-    shift = F.create_map(*[F.lit(x) for pair in offsets for x in pair])[F.col("_range")] if offsets else F.lit(0)
+    so_far = F.sum("count").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1))
+    before = held.groupBy("_range").count().select("_range", F.coalesce(so_far, F.lit(0)).alias("_before"))
     own = F.row_number().over(W.partitionBy("_range").orderBy(*keys))
-    return held.withColumn(name, (own - 1 + shift).cast("long")).drop("_range")
+    return held.withColumn("_own", own).join(F.broadcast(before), "_range").withColumn(name, (F.col("_own") - 1 + F.col("_before")).cast("long")).drop("_range", "_own", "_before")

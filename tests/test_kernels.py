@@ -55,6 +55,22 @@ def test_long_chain_merges_levels(spark):
     assert {r["id"]: r["depth"] for r in bfs.bfs(g, 0).collect()} == {i: i for i in range(21)}
 
 
+def test_long_chain_merges_distances(spark):
+    # The chain's nodes are reached at once over a long way, then round by round over a shorter one.
+    rows = [(i, i + 1, 2) for i in range(20)] + [(0, i, 100) for i in range(2, 21)]
+    g = Graph.from_edges(spark.createDataFrame(rows, "src long, dst long, weight int"))
+    for delta in (None, 1, 50):
+        assert sorted(tuple(r) for r in sssp.sssp(g, 0, delta).collect()) == [(i, 2 * i) for i in range(21)]
+
+
+def test_sssp_refuses(case, spark):
+    with pytest.raises(GraphError):
+        sssp.sssp(case[0], 999)
+    g = Graph.from_edges(spark.createDataFrame([(0, 1, -1)], "src long, dst long, weight int"))
+    with pytest.raises(GraphError):
+        sssp.sssp(g, 0)
+
+
 def test_sssp(case):
     g, edges = case
     source = edges[0][0]
@@ -162,6 +178,8 @@ def test_betweenness(spark):
     found = {r["id"]: r["score"] for r in betweenness.betweenness(g, normalise=False).collect()}
     assert all(abs(found[i] - score[i]) < 1e-9 for i in score)
     assert max(r["score"] for r in betweenness.betweenness(g).collect()) == 1
+    found = {r["id"]: r["score"] for r in betweenness.betweenness(g, normalise=False, batch=4).collect()}
+    assert len(found) == 15 and all(abs(found[i] - score[i]) < 1e-9 for i in score)
 
 
 def test_csr(case):

@@ -6,7 +6,7 @@ import pytest
 
 from skein.functions.generators import chain
 from skein.model import Graph, GraphError
-from skein.operators import betweenness, bfs, pagerank
+from skein.operators import betweenness, bfs, pagerank, sssp
 from skein.plans import joins, scratch
 from skein.sources.registry import read_registry
 
@@ -33,6 +33,11 @@ def test_spent_tables_are_deleted(spark, shared):
     assert scores == {i: float(max(0, 40 - i)) if i else 0.0 for i in range(41)} and tables(shared) <= before + 2
 
 
+def test_spent_distances_are_deleted(spark, shared):
+    g = Graph.from_edges(chain(spark, 18))
+    assert sssp.sssp(g, 0, delta=3).count() == 19 and tables(shared) <= 4  # merged ones, and what fell since
+
+
 def test_each_rule_of_a_search_tree_fires(spark):
     g = Graph.from_edges(spark.createDataFrame([(0, 1, 0), (1, 2, 0), (0, 3, 0), (3, 2, 0), (2, 4, 0)], "src long, dst long, weight int"))
     good = [(0, 0, 0), (1, 0, 1), (3, 0, 1), (2, 1, 2), (4, 2, 3)]
