@@ -7,10 +7,13 @@ import os
 import shutil
 import tempfile
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: Arrow bytes that a function gets at once, unless one row alone has more; the Python objects made of them take several times that.
+BATCH_BYTES = 4_000_000
 _SHIPPED: set[str] = set()
 
 
@@ -36,7 +39,25 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
+def pieces(batch: pa.RecordBatch, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch, in order and without copying, of at most ``most`` bytes or one row each."""
+    if batch.num_rows < 2 or batch.nbytes <= most:
+        yield batch
+        return
+    half = batch.num_rows // 2
+    yield from pieces(batch.slice(0, half), most)
+    yield from pieces(batch.slice(half), most)
+
+
 def map_batches(df: DataFrame, run: Callable, schema: str) -> DataFrame:
-    """``mapInArrow`` with a function of this package."""
+    """``mapInArrow`` with a function of this package, whose batches are bounded by bytes.
+
+    Spark bounds a batch by rows and, more widely, by bytes; what a function
+    holds at once follows from BATCH_BYTES and its longest row alone.
+    """
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return run(piece for batch in batches for piece in pieces(batch))
+
+    return df.mapInArrow(bounded, schema)

@@ -4,6 +4,30 @@ import os
 import subprocess
 import sys
 
+import pyarrow as pa
+
+from skein.plans import ship
+
+
+def test_pieces_are_bounded_by_bytes_and_keep_every_row_in_order():
+    texts = ["x" * n for n in (0, 5, 40_000, 3, 0, 7_000, 9_000, 1)] + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(9), pa.int64()), pa.array(texts), pa.array([[i] * i for i in range(9)])], names=["id", "text", "list"])
+    cut = list(ship.pieces(batch, 10_000))
+    assert [r for c in cut for r in c.to_pylist()] == batch.to_pylist()
+    assert all(c.num_rows == 1 or c.nbytes <= 10_000 for c in cut) and len(cut) > 2
+    # One row beyond the bound goes alone, an empty batch stays one.
+    assert [c.num_rows for c in ship.pieces(batch.slice(2, 1), 10)] == [1]
+    assert [c.num_rows for c in ship.pieces(batch.slice(0, 0), 10)] == [0]
+
+
+def test_functions_get_pieces(spark):
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64()), pa.array([b.nbytes], pa.int64())], names=["n", "size"])
+
+    found = spark.range(0, 9_000, 1, 1).selectExpr("repeat('y', 2000) AS t").transform(ship.map_batches, run, "n long, size long").collect()
+    assert sum(r["n"] for r in found) == 9_000 and max(r["size"] for r in found) <= ship.BATCH_BYTES
+
 
 def test_workers_find_the_package(tmp_path):
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
